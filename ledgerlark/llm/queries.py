@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import exact_dedup, mixing, sharding
+from ledgerlark.llm import bpe, chat, exact_dedup, mixing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,35 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@register(
+    "op1_reply_trees",
+    r"""WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    e AS (SELECT *, length(regexp_replace(text, '(<s>|</s>|\[/?INST\]|\[/?SYS\]|\[OUT\]|\[/?ROLE\]|\[/MSG\])', '\\\1', 'g'))
+      + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 13 WHEN 'assistant' THEN 11 ELSE 23 + length(role) END AS chars FROM m)
+    SELECT conv_id, count(*) AS n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+      CAST(3 + sum(chars) AS BIGINT) AS formatted_chars
+    FROM e GROUP BY conv_id""",
+)
+def op1_reply_trees(spark, sf_dir):
+    control = "</s>[INST] ok [/INST]"
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], rows.schema)
+    messages = chat.conversation_messages(rows.union(extra))
+    done = chat.format_paths(chat.leaf_paths(messages), messages)
+    done = done.withColumn("turns", chat.read_back(F.col("formatted")))
+    done = done.withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
+    written = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return done.select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("bigint").alias("n_turns"), F.sha2(written, 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
 @register("op4_mix_sources")
 def op4_mix_sources(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
@@ -40,6 +69,36 @@ def op5_hilbert_shards(spark, sf_dir):
     )
 
 
+@register(
+    "op6_line_rules",
+    rf"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t,
+        list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+    tri AS (SELECT doc_id, len(words) AS n, unnest(range(1, len(words) - 1)) AS p, words FROM w WHERE len(words) > 3),
+    spelt AS (SELECT doc_id, p, words[p] || ' ' || words[p + 1] || ' ' || words[p + 2] AS s FROM tri),
+    dup AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, s) AS c FROM spelt) WHERE c > 1),
+    cov AS (SELECT doc_id, CAST(sum(least(3, p - before)) AS BIGINT) AS r FROM
+        (SELECT doc_id, p, coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -3) AS before FROM dup) GROUP BY doc_id),
+    ln AS (SELECT doc_id, l, regexp_replace(regexp_replace(l, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') AS b FROM
+        (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM w)),
+    judged AS (SELECT doc_id, l, b <> '' AS filled,
+        b = '' OR NOT (NOT regexp_matches(b, '[.!?:;…。！？][''")\]»”’*_]*$')
+          OR len(regexp_extract_all(b, '[|»›>·•]')) >= 3 OR len(regexp_extract_all(b, '[!?][!?]+')) >= 3
+          OR regexp_matches(b, '{quality.BOILERPLATE}')) AS good FROM ln),
+    doc AS (SELECT doc_id, sum(CASE WHEN good THEN length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')) ELSE 0 END) AS kept_chars,
+        CAST(count(*) FILTER (WHERE filled) - count(DISTINCT l) FILTER (WHERE filled) AS BIGINT) AS n_dup_lines FROM judged GROUP BY doc_id),
+    f AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+        CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, n_dup_lines, coalesce(r, 0) AS n_repeat_words, kept_chars
+        FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN doc USING (doc_id))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * kept_chars >= 50 * word_chars AS kept FROM f""",
+)
+def op6_line_rules(spark, sf_dir):
+    verdicts = quality.judge(documents(spark, sf_dir).select("doc_id", "text"))
+    fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return verdicts.select("doc_id", *[F.col(f"quality.{f}") for f in fields])
+
+
 @register(
     "op7_content_sort",
     r"""WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
@@ -49,3 +108,16 @@ def op5_hilbert_shards(spark, sf_dir):
 )
 def op7_content_sort(spark, sf_dir):
     return exact_dedup.exact_groups(documents(spark, sf_dir))
+
+
+@register("op10_backtracking_bpe")
+def op10_backtracking_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    done = bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return done.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
