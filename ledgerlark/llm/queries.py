@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import bpe, chat, exact_dedup, mixing, quality, sharding
+from ledgerlark.llm import bpe, chat, exact_dedup, mixing, quality, setjoin, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,6 +56,11 @@ def op1_reply_trees(spark, sf_dir):
     )
 
 
+@register("op2_jaccard_join")
+def op2_jaccard_join(spark, sf_dir):
+    return setjoin.similar_components(documents(spark, sf_dir))
+
+
 @register("op4_mix_sources")
 def op4_mix_sources(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
