@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import bpe, chat, exact_dedup, mixing, quality, setjoin, sharding
+from ledgerlark.llm import bpe, chat, exact_dedup, mixing, quality, setjoin, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,6 +115,12 @@ def op7_content_sort(spark, sf_dir):
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+@register("op9_repeated_substrings")
+def op9_repeated_substrings(spark, sf_dir):
+    done = substrings.remove_repeats(documents(spark, sf_dir))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register("op10_backtracking_bpe")
 def op10_backtracking_bpe(spark, sf_dir):
     import public_tokenizers
