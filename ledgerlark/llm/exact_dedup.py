@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.common import SPACES, cut, partitions, text_or_empty
 
-#: A text's copies are spread over so many range keys, so that a hot text fills no single task.
+#: A text's copies are spread over so many range keys at least, so that a hot text fills no single task.
 SALTS = 32
+#: Splitters are sampled from so many first characters, as whole texts would all go to the driver.
+SPLITTER_CHARS = 64
 
 
 def normalised(column: str = "text"):
@@ -19,36 +21,40 @@ def normalised(column: str = "text"):
 def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
-    The normalised texts are range-partitioned by sampled splitters and sorted, so equal texts become
-    neighbours; the window compares neighbours in full and its first row has the smallest identifier.
+    The normalised texts are range-partitioned by sampled splitters (of their first characters) and sorted, so
+    equal texts become neighbours; the window compares neighbours in full and its first row has the smallest identifier.
     The range key ends with a salt made from the identifier, so a text with very many copies spans
-    several ranges; the few heads that remain per text are then merged by their digest, without texts.
+    several ranges; the heads that remain, one per text and salt, are then merged by their digest, without texts.
 
     Null texts and empty texts are equal. Rows with equal identifiers and equal texts are one group of which
     one row is kept. A null identifier sorts first, and its group's keep_id is then null. An empty table
     gives no rows; other columns of ``docs`` are ignored.
     """
-    salt = F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts))
+    salts = max(salts, partitions(docs))
     rows = docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"), normalised(text_col).alias("norm"), salt.alias("salt")
-    )
-    near = Window.partitionBy("norm", "salt").orderBy("doc_id")
+        F.col(id_col).cast("bigint").alias("doc_id"), normalised(text_col).alias("norm"),
+        F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).alias("salt"),
+    ).withColumn("start", F.substr("norm", F.lit(1), F.lit(SPLITTER_CHARS)))
+    near = Window.partitionBy("start", "salt", "norm").orderBy("doc_id")
     heads = cut(
-        rows.repartitionByRange(partitions(docs), "norm", "salt").select(
-            "doc_id",
+        rows.repartitionByRange(partitions(docs), "start", "salt").select(
+            "doc_id", "salt",
             F.first("doc_id").over(near).alias("head"),
             F.row_number().over(near).alias("place"),
             F.sha2("norm", 256).alias("text_sha256"),
         )
     )
-    groups = heads.groupBy("text_sha256").agg(
-        F.min_by("head", F.coalesce(F.col("head"), F.lit(-(2**63)))).alias("keep_id"), F.count("*").alias("group_size")
+    first = F.min(F.struct("head"))["head"]  # null, too, can be the smallest
+    parts = heads.groupBy("text_sha256", "salt").agg(first.alias("head"), F.count("*").alias("n"))
+    text = Window.partitionBy("text_sha256")
+    groups = parts.select(
+        "text_sha256", "salt", F.min(F.struct("head")).over(text)["head"].alias("keep_id"), F.sum("n").over(text).alias("group_size")
     )
-    return heads.join(groups, "text_sha256").select(
+    return heads.join(groups, ["text_sha256", "salt"]).select(
         "doc_id", "keep_id", "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("place") == 1)).alias("kept"),
         "text_sha256",
-    )
+    )
 
 
 def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
