@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import bpe, chat, exact_dedup, mixing, quality, setjoin, sharding, substrings
+from ledgerlark.llm import bpe, chat, exact_dedup, language, mixing, quality, setjoin, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,6 +61,15 @@ def op2_jaccard_join(spark, sf_dir):
     return setjoin.similar_components(documents(spark, sf_dir))
 
 
+@register("op3_language_spans")
+def op3_language_spans(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    fold = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)), F.lit(0))
+    model = language.fit(docs.filter(fold != 2).select("doc_id", "lang", "text"))
+    done = language.label_documents(docs.select("doc_id", (fold == 2).alias("held_out"), "text"), model)
+    return done.select("doc_id", "held_out", "lang_pred", "score")
+
+
 @register("op4_mix_sources")
 def op4_mix_sources(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
