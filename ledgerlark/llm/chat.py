@@ -50,23 +50,24 @@ def leaf_paths(messages: DataFrame, *, top: int | None = None) -> DataFrame:
         )
     )
     levels = []
+    done, going = state.filter("up IS NULL"), state.filter("up IS NOT NULL")
     for _ in range(math.ceil(math.log2(max(2, state.count()))) + 1):
-        if state.filter("up IS NOT NULL").isEmpty():
+        if going.isEmpty():
             break
-        levels.append(state.filter("up IS NOT NULL").select("tree", "node", "up"))
-        over = state.select(
+        levels.append(going.select("tree", "node", "up"))
+        over = done.union(going).select(
             "tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("total").alias("_total")
         )
-        state = cut(
-            state.join(over, ["tree", "up"], "left").select(
-                "tree", "node", F.col("_up").alias("up"),
-                (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
-                (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"),
+        moved = cut(
+            going.join(over, ["tree", "up"]).select(
+                "tree", "node", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"),
+                (F.col("total") + F.col("_total")).alias("total"),
             )
         )
+        done, going = done.union(moved.filter("up IS NULL")), moved.filter("up IS NOT NULL")
     inner = messages.filter("parent IS NOT NULL").select("tree", F.col("parent").alias("node"))
     best = Window.partitionBy("tree").orderBy(F.desc("total"), "node")
-    leaves = state.filter("up IS NULL").join(inner, ["tree", "node"], "left_anti").withColumn("rank", F.row_number().over(best))
+    leaves = done.join(inner, ["tree", "node"], "left_anti").withColumn("rank", F.row_number().over(best))
     if top is not None:
         leaves = leaves.filter(F.col("rank") <= top)
     found = leaves.select("tree", F.col("node").alias("leaf"), "rank", "node", F.col("depth").alias("pos"))
