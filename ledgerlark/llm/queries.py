@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import bpe, chat, exact_dedup, language, mixing, quality, setjoin, sharding, substrings
+from ledgerlark.llm import bpe, chat, exact_dedup, fuzzy_lines, language, mixing, quality, setjoin, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,6 +124,12 @@ def op7_content_sort(spark, sf_dir):
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+@register("op8_fuzzy_lines")
+def op8_fuzzy_lines(spark, sf_dir):
+    done = fuzzy_lines.dedup_lines(documents(spark, sf_dir))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register("op9_repeated_substrings")
 def op9_repeated_substrings(spark, sf_dir):
     done = substrings.remove_repeats(documents(spark, sf_dir))

@@ -253,17 +253,10 @@ def _packed_sets(batch: pa.RecordBatch):
         yield ids[a:b], Slice(hashes, np.concatenate([[0], np.cumsum([len(p) // 8 for p in packed[a:b]])]))
 
 
-def candidates(rows: DataFrame, plan, edges, t: Threshold, *, packed: bool, width: int, light: int, hubs: int) -> DataFrame:
-    """Merged findings of all buckets over (id, text) or (id, packed set)."""
-    buckets = partitions(rows)
-
-    def enter(batches):
-        for batch in batches:
-            made = _packed_sets(batch) if packed else ((i, shingle_slice(x, width)) for i, x in _texts(batch))
-            for ids, sets in made:
-                found = list(entries(sets, ids, plan, edges, t, buckets))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), ENTRY, strict=True)], schema=ENTRY)
+def meet(entered: DataFrame, light: int, hubs: int) -> DataFrame:
+    """Merged findings of all buckets of ``entered`` (ENTRY). Null classes are the ids, null quotas 1, null roles 0, and
+    without references entry i has id i."""
+    buckets = partitions(entered)
 
     def match(batches):
         held = {c: [] for c in ("sig", "id", "cls", "quota", "role")}
@@ -272,10 +265,11 @@ def candidates(rows: DataFrame, plan, edges, t: Threshold, *, packed: bool, widt
                 raw = np.frombuffer(row["sig"], np.uint8).reshape(-1, SIG_BYTES)
                 sig = np.zeros((len(raw), 8), np.uint8)
                 sig[:, :SIG_BYTES] = raw
-                ref = np.frombuffer(row["ref"], "<u4")
+                n = len(row["id"]) // 8
+                ref = np.arange(n) if row["ref"] is None else np.frombuffer(row["ref"], "<u4")
                 held["sig"].append(sig.view("<u8").ravel())
-                for c, kind in (("id", "<i8"), ("cls", "<u8"), ("quota", "<i4"), ("role", "u1")):
-                    held[c].append(np.frombuffer(row[c], kind)[ref])
+                for c, kind, other in (("id", "<i8", b""), ("cls", "<u8", row["id"]), ("quota", "<i4", b"\1\0\0\0" * n), ("role", "u1", bytes(n))):
+                    held[c].append(np.frombuffer(other if row[c] is None else row[c], kind)[ref])
         if held["sig"]:
             rec = group_pairs(*(np.concatenate(held[c]) for c in ("sig", "id", "cls", "quota", "role")), light, hubs)
             target = (mix(rec["a"].astype(np.uint64) ^ mix(rec["b"].astype(np.uint64))) % np.uint64(buckets)).astype(np.int64)
@@ -293,30 +287,94 @@ def candidates(rows: DataFrame, plan, edges, t: Threshold, *, packed: bool, widt
             rec = merge_found(np.concatenate(found))
             yield pa.RecordBatch.from_arrays([pa.array(rec[f.name].astype(f.type.to_pandas_dtype())) for f in MERGED], schema=MERGED)
 
-    entered = rows.mapInArrow(enter, _ddl(ENTRY)).repartitionById(buckets, "bucket")
-    return entered.mapInArrow(match, _ddl(PACKED)).repartitionById(buckets, "target").mapInArrow(merge, _ddl(MERGED))
+    found = entered.repartitionById(buckets, "bucket").mapInArrow(match, _ddl(PACKED))
+    return found.repartitionById(buckets, "target").mapInArrow(merge, _ddl(MERGED))
+
+
+def set_entries(rows: DataFrame, plan, edges, t: Threshold, *, packed: bool, width: int) -> DataFrame:
+    """Entries of (id, text) or (id, packed set)."""
+    buckets = partitions(rows)
+
+    def enter(batches):
+        for batch in batches:
+            made = _packed_sets(batch) if packed else ((i, shingle_slice(x, width)) for i, x in _texts(batch))
+            for ids, sets in made:
+                found = list(entries(sets, ids, plan, edges, t, buckets))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), ENTRY, strict=True)], schema=ENTRY)
+
+    return rows.mapInArrow(enter, _ddl(ENTRY))
 
 
-def verify(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets are similar, compared in full."""
+def verify(pairs: DataFrame, sets: DataFrame, similar) -> DataFrame:
+    """The (a, b) of ``pairs`` whose packed contents are similar, compared in full."""
     left = sets.select(F.col("id").alias("a"), F.col("packed").alias("pa"))
     right = sets.select(F.col("id").alias("b"), F.col("packed").alias("pb"))
     both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "pa", "pb")
 
     def check(batches):
         for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = []
-            for p, q in zip(x, y, strict=True):
-                p, q = np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")
-                common = overlap(p, q) if min(len(p), len(q)) * t.den >= max(len(p), len(q)) * t.num else 0
-                keep.append(bool(len(p)) and common * t.den >= (len(p) + len(q) - common) * t.num)
-            keep = pa.array(keep, pa.bool_())
+            keep = pa.array([similar(p, q) for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     return both.mapInArrow(check, "a bigint, b bigint")
 
 
+def settle(first: DataFrame, again, load, similar) -> DataFrame:
+    """(node, component) of all nodes with links.
+
+    ``first`` are the entries of all nodes, ``load`` gives (id, packed) for wanted ids, ``again`` the entries of such rows,
+    and ``similar`` compares two packed contents. Pairs of small groups are kept if they share enough signatures.
+    Large groups give stars around a few hubs, where they could hide all that a node shares. If afterwards some star
+    isn't within one component, its nodes go through another round with larger limits, until all are.
+    """
+    labels = sets = None
+    links: list[DataFrame] = []
+    light, hubs, entered = LIGHT, HUBS, first
+    while True:
+        found = cut(meet(entered, light, hubs))
+        heavy = found.filter(F.col("kind") == HEAVY).select("a", F.col("b").alias("role"), F.col("n").alias("h"), F.col("qa").alias("quota"))
+        stars = found.filter(F.col("kind") == STAR).select("a", "b", (F.col("qa") < 0).alias("first"))
+        role = F.when((F.col("qa") == FREE) | (F.col("qb") == FREE), 1).otherwise(0).cast("bigint")
+        pairs = found.filter(F.col("kind") == PAIR).withColumn("role", role)
+        pairs = pairs.join(heavy.select("a", "role", F.col("h").alias("ha")), ["a", "role"], "left")
+        pairs = pairs.join(heavy.select(F.col("a").alias("b"), "role", F.col("h").alias("hb")), ["b", "role"], "left")
+        enough = F.least(F.col("qa") - F.coalesce("ha", F.lit(0)), F.col("qb") - F.coalesce("hb", F.lit(0)))
+        pairs = pairs.filter(F.col("n") >= F.greatest(F.lit(1), enough)).select("a", "b")
+        hidden = heavy.filter("quota <= h").select(F.col("a").alias("x")).distinct()
+        centres = stars.filter("first").join(hidden, F.col("a") == F.col("x"), "left_semi").select("b")
+        centres = centres.union(stars.select("b").join(hidden, F.col("b") == F.col("x"), "left_semi")).distinct()
+        stars = cut(stars.join(centres, "b", "left_semi").filter("a <> b"))
+        todo = pairs.union(stars.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if labels is not None:
+            todo = _labelled(todo, labels).filter("la <> lb").select("a", "b")
+        todo = cut(todo)
+        if sets is None:
+            sets = cut(load(todo.select(F.col("a").alias("id")).union(todo.select("b")).distinct()))
+        links.append(cut(verify(todo, sets, similar)))
+        union = links[0]
+        for more in links[1:]:
+            union = union.union(more)
+        labels = components(union)
+        split = _labelled(stars.filter("first"), labels).filter("la <> lb").select("b").distinct()
+        open_nodes = cut(stars.join(split, "b", "left_semi").select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        if open_nodes.isEmpty():
+            return labels
+        entered = again(sets.join(open_nodes, "id", "left_semi"))
+        light, hubs = light * GROWTH, hubs * GROWTH
+
+
+def similar_sets(t: Threshold):
+    def similar(p: bytes, q: bytes) -> bool:
+        p, q = np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")
+        if not len(p) or min(len(p), len(q)) * t.den < max(len(p), len(q)) * t.num:
+            return False
+        common = overlap(p, q)
+        return common * t.den >= (len(p) + len(q) - common) * t.num
+
+    return similar
+
+
 def similar_components(
     docs: DataFrame,
     *,
@@ -366,42 +424,13 @@ def similar_components(
     top = max(population, default=0)
     plan = {k: allocate(int(edges[k]), int(edges[k + 1]), population.get(k, 1), t) for k in range(top + 1)}
 
-    labels = sets = None
-    links: list[DataFrame] = []
-    light, hubs = LIGHT, HUBS
-    source, packed = rows.filter("id IS NOT NULL"), False
-    while True:
-        found = cut(candidates(source, plan, edges, t, packed=packed, width=width, light=light, hubs=hubs))
-        heavy = found.filter(F.col("kind") == HEAVY).select("a", F.col("b").alias("role"), F.col("n").alias("h"), F.col("qa").alias("quota"))
-        stars = found.filter(F.col("kind") == STAR).select("a", "b", (F.col("qa") < 0).alias("first"))
-        role = F.when((F.col("qa") == FREE) | (F.col("qb") == FREE), 1).otherwise(0).cast("bigint")
-        pairs = found.filter(F.col("kind") == PAIR).withColumn("role", role)
-        pairs = pairs.join(heavy.select("a", "role", F.col("h").alias("ha")), ["a", "role"], "left")
-        pairs = pairs.join(heavy.select(F.col("a").alias("b"), "role", F.col("h").alias("hb")), ["b", "role"], "left")
-        enough = F.least(F.col("qa") - F.coalesce("ha", F.lit(0)), F.col("qb") - F.coalesce("hb", F.lit(0)))
-        pairs = pairs.filter(F.col("n") >= F.greatest(F.lit(1), enough)).select("a", "b")
-        hidden = heavy.filter("quota <= h").select(F.col("a").alias("x")).distinct()
-        centres = stars.filter("first").join(hidden, F.col("a") == F.col("x"), "left_semi").select("b")
-        centres = centres.union(stars.select("b").join(hidden, F.col("b") == F.col("x"), "left_semi")).distinct()
-        stars = cut(stars.join(centres, "b", "left_semi").filter("a <> b"))
-        todo = pairs.union(stars.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if labels is not None:
-            todo = _labelled(todo, labels).filter("la <> lb").select("a", "b")
-        todo = cut(todo)
-        if sets is None:
-            wanted = todo.select(F.col("a").alias("id")).union(todo.select("b")).distinct()
-            sets = cut(source.join(wanted, "id", "left_semi").mapInArrow(_to_sets(width), "id bigint, packed binary"))
-        links.append(cut(verify(todo, sets, t)))
-        union = links[0]
-        for more in links[1:]:
-            union = union.union(more)
-        labels = components(union)
-        split = _labelled(stars.filter("first"), labels).filter("la <> lb").select("b").distinct()
-        again = cut(stars.join(split, "b", "left_semi").select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        if again.isEmpty():
-            break
-        source, packed = sets.join(again, "id", "left_semi"), True
-        light, hubs = light * GROWTH, hubs * GROWTH
+    source = rows.filter("id IS NOT NULL")
+    labels = settle(
+        set_entries(source, plan, edges, t, packed=False, width=width),
+        lambda sets: set_entries(sets, plan, edges, t, packed=True, width=width),
+        lambda wanted: source.join(wanted, "id", "left_semi").mapInArrow(_to_sets(width), "id bigint, packed binary"),
+        similar_sets(t),
+    )
 
     salts = max(32, partitions(docs))
     keys = ["h1", "h2", "n"]
