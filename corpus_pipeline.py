@@ -1,10 +1,60 @@
-"""A corpus pipeline of the operators in ``ledgerlark.llm``; the stages are added as the operators are."""
+"""A corpus pipeline of the operators in ``ledgerlark.llm``.
 
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and, but for the last, returns
+the columns of ``documents``. SQL can express neither the mix's seeded order nor the encoding, so there is no SQL for the result.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerlark.llm import bpe, exact_dedup, mixing, quality, setjoin
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass, without their failing lines."""
+    judged = quality.judge(docs.select(*COLUMNS)).filter("quality.kept")
+    text = F.col("quality.cleaned")
+    return judged.withColumns({"text": text, "n_chars": F.length(text).cast("bigint")}).select(*COLUMNS)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the smallest identifier."""
+    return exact_dedup.drop_exact_copies(docs).select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of similar documents, the one with the smallest identifier."""
+    return setjoin.drop_similar(docs).select(*COLUMNS)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.repeat_rows(docs).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each row."""
+    import public_tokenizers
+
+    done = bpe.encode_documents(docs.select("doc_id", "source", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return done.select("doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("exact dedup", exact_copies),
+    ("n-gram Jaccard join", near_copies),
+    ("mixing sources to target weights", source_mix),
+    ("BPE encoding and decoding", tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

@@ -60,13 +60,10 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of equal texts the one with the smallest identifier.
 
-    Of rows that share identifier and text one stays; the choice among them follows all their columns' hash.
+    Of rows that share identifier and text one stays, any of them.
     """
-    groups = exact_groups(docs, id_col=id_col, text_col=text_col)
-    kept = groups.filter("kept").select(
-        F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha")
-    )  # no two rows are alike
-    found = docs.withColumn("_own", F.sha2(normalised(text_col), 256)).join(
-        kept, F.col(id_col).eqNullSafe(F.col("_keep")) & (F.col("_own") == F.col("_sha")), "left_semi"
-    )
-    return found.drop("_own").dropDuplicates([id_col, text_col]) if id_col in docs.columns else found.drop("_own")
+    kept = exact_groups(docs, id_col=id_col, text_col=text_col).filter("kept")
+    kept = kept.select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_keep_sha"))
+    rows = docs.withColumns({"_own": F.col(id_col).cast("bigint"), "_own_sha": F.sha2(normalised(text_col), 256)})
+    same = F.col("_own").eqNullSafe(F.col("_keep")) & (F.col("_own_sha") == F.col("_keep_sha"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["_own", "_own_sha"]).drop("_own", "_own_sha")

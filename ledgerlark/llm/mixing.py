@@ -99,3 +99,25 @@ def mix(
         "doc_id", "source", "size", "source_size", "target", "epochs", "extra",
         (F.col("epochs") * F.col("size") + F.col("extra")).alias("taken"),
     )
+
+
+def repeat_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, whole: a row that is taken in part counts if half of it is.
+
+    Rows that share identifier, source and size are taken alike. Rows without words are taken as often as their
+    source is, whole times only. The columns of ``docs`` stay as they are.
+    """
+    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    part = F.when((F.col("extra") > 0) & (2 * F.col("extra") >= F.col("size")), 1).otherwise(0)
+    keys = taken.groupBy(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")
+    ).agg(F.max(F.col("epochs") + part).cast("int").alias("_times"))
+    keys = keys.filter("_times > 0")
+    rows = docs.withColumn("_words", F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("bigint"))
+    same = (
+        F.col(id_col).cast("bigint").eqNullSafe(F.col("_id"))
+        & F.col(source_col).eqNullSafe(F.col("_source"))
+        & (F.col("_words") == F.col("_size"))
+    )
+    found = rows.join(keys, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return found.select(*[found[f"`{c}`"] for c in docs.columns])

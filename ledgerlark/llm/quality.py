@@ -115,4 +115,5 @@ def judge(
         (~failed & (100 * F.col("kept_chars") >= min_kept_percent * F.col("word_chars"))).alias("kept"),
         "kept_chars", F.col("_cleaned").alias("cleaned"),
     )
-    return df.select("_doc", quality.alias("quality")).select(*[F.col(f"_doc.`{c}`") for c in n_cols if c != "quality"], "quality")
+    # A row generator, so that later filters on the verdict don't evaluate the arrays again.
+    return df.select("_doc", F.explode(F.array(quality)).alias("quality")).select(*[F.col(f"_doc.`{c}`") for c in n_cols if c != "quality"], "quality")
