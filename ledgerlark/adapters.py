@@ -36,3 +36,38 @@ def material(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linestatus").alias("blocked"),
         F.col("l_partkey").alias("number"),
     )
+
+
+EXPENSE_SQL = """
+SELECT o_orderkey AS id, c_nationkey AS project, c_mktsegment AS owner,
+       CAST(round(o_totalprice * 100) AS BIGINT) AS cents,
+       CASE o_orderstatus WHEN 'F' THEN 'submitted' WHEN 'P' THEN 'ready' ELSE 'draft' END AS stage,
+       o_orderpriority AS category, CAST(o_orderdate AS DATE) AS expense_date, o_custkey AS merchant
+FROM orders JOIN customer ON o_custkey = c_custkey"""
+
+
+def expense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as expenses of a project (nation) and an owner (market segment)."""
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    stage = F.when(F.col("o_orderstatus") == "F", "submitted").when(F.col("o_orderstatus") == "P", "ready").otherwise("draft")
+    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("id"), F.col("c_nationkey").alias("project"), F.col("c_mktsegment").alias("owner"),
+        F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"), stage.alias("stage"),
+        F.col("o_orderpriority").alias("category"), F.col("o_orderdate").cast("date").alias("expense_date"),
+        F.col("o_custkey").alias("merchant"),
+    )
+
+
+MESSAGE_SQL = """
+SELECT event_id AS id, user_id AS chat, ts, epoch_us(ts) // 1000000 AS second, event_type AS kind, value,
+       CAST(props ->> '$.k' AS BIGINT) AS local_id
+FROM events"""
+
+
+def message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as messages of a chat (user); ``second`` counts from 1970."""
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("chat"), "ts",
+        F.unix_seconds(F.col("ts").cast("timestamp")).alias("second"), F.col("event_type").alias("kind"), "value",
+        F.get_json_object("props", "$.k").cast("bigint").alias("local_id"),
+    )

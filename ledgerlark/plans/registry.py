@@ -2,37 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from ledgerlark.plans import aggregates, lookups, pages, pairs, texts  # noqa: F401
+from ledgerlark.plans.core import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-from ledgerlark import adapters
-from ledgerlark.operators import pairing
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    """Adds a query, with its SQL where SQL can express it."""
-
-    def add(query):
-        QUERIES[name] = query
-        if sql is not None:
-            ORACLES[name] = sql
-        return query
-
-    return add
-
-
-@register(
-    "pair_unique_equi",
-    f"""WITH m AS ({adapters.MATERIAL_SQL}),
-    c AS (SELECT *, count(CASE WHEN role = 'invoice' THEN 1 END) OVER (PARTITION BY pool, cents) AS i,
-                    count(CASE WHEN role = 'payment' THEN 1 END) OVER (PARTITION BY pool, cents) AS p FROM m)
-    SELECT a.pool, a.cents, a.rn AS invoice_rn, b.rn AS payment_rn
-    FROM c a JOIN c b ON a.pool = b.pool AND a.cents = b.cents
-    WHERE a.role = 'invoice' AND b.role = 'payment' AND a.i = 1 AND a.p = 1""",
-)
-def pair_unique_equi(spark, sf_dir):
-    return pairing.pair_unique(adapters.material(spark, sf_dir))
+__all__ = ["ORACLES", "QUERIES"]
