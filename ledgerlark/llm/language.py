@@ -158,8 +158,8 @@ def fit(rows: DataFrame, *, fit_rows: int = FIT_ROWS, seed: int = 7) -> Model:
 
 def word_scores(words: Words, model: Model) -> np.ndarray:
     """Log-likelihoods (word, language). Languages that don't write a word's script are out, unless none does."""
-    if not len(words.text):
-        return np.zeros((0, len(model.langs)), np.float32)
+    if not len(words.text) or not model.langs:
+        return np.zeros((len(words.text), len(model.langs)), np.float32)
     scores = np.add.reduceat(model.triples[words.triples], words.heads, axis=0) + model.whole[words.whole]
     scores -= scores.max(axis=1, keepdims=True)
     allowed = model.scripts[words.script].astype(bool)

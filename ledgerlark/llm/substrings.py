@@ -137,13 +137,13 @@ def _by_doc(batches, dtype: np.dtype):
             )
 
 
-def _find_anchors(buckets: int, length: int):
+def _find_anchors(buckets: int, length: int, width: int):
     def run(batches):
         for batch in batches:
             docs, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             texts = batch.column(2).to_pylist()
             for x, y in slices(texts):
-                text, at, first, last, key = anchors(texts[x:y], length)
+                text, at, first, last, key = anchors(texts[x:y], length, width)
                 rec = np.empty(len(at), OCCURRENCE)
                 rec["key"], rec["doc"], rec["hash"] = key, docs[x:y][text], hashes[x:y][text]
                 rec["at"], rec["first"], rec["last"] = at, first, last
@@ -275,7 +275,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, width: int = ANCHOR
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("_doc"), F.xxhash64("text").alias("_hash"), "text")
     packed = "bucket int, packed binary"
     by_doc = "_doc bigint, _hash bigint, packed binary"
-    once = rows.select("_doc", "_hash", "text").mapInArrow(_find_anchors(buckets, length), packed).repartitionById(buckets, "bucket")
+    once = rows.select("_doc", "_hash", "text").mapInArrow(_find_anchors(buckets, length, width), packed).repartitionById(buckets, "bucket")
     twice = once.mapInArrow(_repeated_anchors(buckets), packed).repartitionById(buckets, "bucket")
     twice = twice.mapInArrow(lambda it: _by_doc(it, OCCURRENCE), by_doc)
     near = rows.join(twice, ["_doc", "_hash"]).select("text", "packed")
