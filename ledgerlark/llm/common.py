@@ -12,9 +12,14 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Narrow rows that one task takes.
+TASK_ROWS = 50_000
+
+
+def cut(df: DataFrame, per_task: int | None = None) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder, so lost executors don't matter.
 
+    With ``per_task``, what follows reads it in as many tasks as its rows need, where that is fewer than its partitions.
     The cluster's ``spark.checkpoint.dir`` is used; only where none is set (tests) a local folder is.
     """
     context = df.sparkSession.sparkContext
@@ -22,7 +27,12 @@ def cut(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(
             df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
         )
-    return df.checkpoint()
+    kept = df.checkpoint()
+    return kept if per_task is None else kept.coalesce(tasks_for(kept.count(), per_task))
+
+
+def tasks_for(rows: int, per_task: int = TASK_ROWS) -> int:
+    return max(1, -(-rows // per_task))
 
 
 def partitions(df: DataFrame) -> int:

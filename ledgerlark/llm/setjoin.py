@@ -3,21 +3,31 @@
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import cut, partitions
+from ledgerlark.llm.common import TASK_ROWS, cut, partitions
 from ledgerlark.llm.components import components
 from ledgerlark.llm.shingles import SHINGLE_WORDS, Slice, mix, overlap, shingle_slice, slices
 
 #: Similarity of at least NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 75, 100
-#: Signatures of up to so many different sets give all their pairs; LIGHT and HUBS grow by GROWTH in each further round.
-LIGHT, HUBS, GROWTH = 12, 2, 4
+#: Signatures of up to LIGHT different sets give all their pairs; larger groups are compared with HUBS sets first.
+LIGHT, HUBS = 32, 1
+#: Sets that one task takes.
+SET_ROWS = 4000
+#: The second level's segments have at least so many elements.
+DEEP_LEAST = 2
+#: Signatures that hidden sets may meet are told by a filter of 2**FILTER_BITS bits (16 MB), whatever the input's size.
+FILTER_BITS, FILTER_CHUNK = 27, 1 << 15
+#: What is then still apart is compared in blocks of so many sets and so many queries.
+BLOCK_SETS, BLOCK_QUERIES = 2000, 500
 #: What a stored signature has to leave over, as a factor of what the guarantee needs.
 SLACK = 1.25
 #: For the cost of an allocation: how likely a shingle of one set is in another one, and a false pair against an entry.
@@ -47,37 +57,42 @@ class Threshold:
         return np.array(out, np.int64)
 
 
-def allocate(lo: int, hi: int, population: int, t: Threshold) -> tuple[int, int]:
+def allocate(lo: int, hi: int, population: int, t: Threshold, *, deep: bool = False) -> tuple[int, int]:
     """For sizes lo to hi - 1: the number of segments, and how many of them carry one-deletion neighbourhoods.
 
     A filled segment tells of one difference, one with its neighbourhood (and two elements or more) of two. Among the
     choices whose sum is expected to exceed what similar sets can differ in, takes the one that costs least: entries to
-    store, and false pairs, which grow with the band's population and shrink with a segment's elements.
+    store, and false pairs, which grow with the band's population and shrink with a segment's elements. ``deep`` leaves only
+    the choices with few long segments that all carry neighbourhoods.
     """
     wide = (hi - 1) * t.den // t.num
-    best = None
+    best, least = None, DEEP_LEAST if deep else 1
     need_own, need_next = int(t.differ(2 * (hi - 1))) + 1, int(t.differ(wide + hi - 1)) + 1
     for factor in (0.5, 0.55, 0.6, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.35, 1.5, 1.75, 2.0, 2.5, 3.0):
         m = max(1, math.ceil(need_own * factor))
-        for d in sorted({0, m // 4, m // 2, 3 * m // 4, m}):
+        for d in [m] if deep else sorted({0, m // 4, m // 2, 3 * m // 4, m}):
 
             def sums(n, m=m, d=d):
-                none = (1 - 1 / m) ** n
-                one = n / m * (1 - 1 / m) ** (n - 1)
-                return (m - none * m) + d * (1 - none - one), m * (1 - none) + d * max(0.0, n / m - one)
+                """What the segments tell and the entries they make, expected for n elements."""
+                p = [math.comb(n, w) * (1 / m) ** w * (1 - 1 / m) ** (n - w) for w in range(min(n, least) + 1)]
+                short, held = sum(p[:least]), n / m - sum(w * x for w, x in enumerate(p))
+                return (m - d) * (1 - short) + d * (1 - short + 1 - sum(p)), m * (1 - short) + d * max(0.0, held)
 
             if any(sums(n)[0] < need * (SLACK if need > 3 else 1) for n, need in ((hi - 1, need_own), (wide, need_next))):
                 continue
             n = (lo + hi - 1) / 2
             pairs = (m - d) * SHARE ** (n / m) + d * (n / m + 1) * SHARE ** max(n / m - 1, 0.5)
-            cost = sums(n)[1] + PAIR_COST * population * pairs
+            cost = sums((lo + hi - 1) // 2)[1] + PAIR_COST * population * pairs
             if best is None or cost < best[0]:
                 best = cost, m, d
     return (best[1], best[2]) if best else (4 * hi, 0)
 
 
-def signatures(sets: Slice, chosen: np.ndarray, m: np.ndarray, d: np.ndarray, salt: np.ndarray):
-    """(signatures, owners, weights): ``weights`` sums per set what its segments can tell. m = 0: one segment per element."""
+def signatures(sets: Slice, chosen: np.ndarray, m: np.ndarray, d: np.ndarray, salt: np.ndarray, least: int = 1):
+    """(signatures, owners, weights): ``weights`` sums per set what its segments can tell. m = 0: one segment per element.
+
+    Segments with fewer elements than ``least`` are left out.
+    """
     sizes = np.where(chosen, sets.sizes, 0)
     owner = np.repeat(np.arange(len(sizes)), sets.sizes)
     use = chosen[owner]
@@ -93,9 +108,10 @@ def signatures(sets: Slice, chosen: np.ndarray, m: np.ndarray, d: np.ndarray, sa
     total = np.add.reduceat(value, at)
     width = np.diff(np.append(at, len(h)))
     name = mix(seg[at] ^ K[1]) + salt[owner[at]]
-    sigs, owners = [mix(total + name)], [owner[at]]
-    lower = (seg[at] < d[owner[at]].astype(np.uint64)) & (mm[at] > 0) & (width >= 2)
-    weights = np.bincount(owner[at], weights=1 + lower, minlength=len(sizes)).astype(np.int64)
+    used = (width >= least) | (mm[at] == 0)
+    sigs, owners = [mix(total + name)[used]], [owner[at][used]]
+    lower = (seg[at] < d[owner[at]].astype(np.uint64)) & (mm[at] > 0) & (width > least)
+    weights = np.bincount(owner[at], weights=used.astype(int) + lower, minlength=len(sizes)).astype(np.int64)
     if lower.any():
         group = np.repeat(np.arange(len(at)), width)
         member = lower[group]
@@ -110,7 +126,7 @@ def digest(sets: Slice, salt: np.uint64) -> np.ndarray:
     return mix(total[sets.starts[1:]] - total[sets.starts[:-1]] + sets.sizes.astype(np.uint64) * salt)
 
 
-def entries(sets: Slice, ids: np.ndarray, plan: dict[int, tuple[int, int]], edges: np.ndarray, t: Threshold, buckets: int):
+def entries(sets: Slice, ids: np.ndarray, plan: dict[int, tuple[int, int]], edges: np.ndarray, t: Threshold, buckets: int, least: int = 1, only: np.ndarray | None = None):
     """Rows (bucket, signatures, references, and per reference id, class, quota and role) of one slice of sets.
 
     A set enters its own band (role 0) and, if a set of the band below can be similar, that one too (role 1).
@@ -133,13 +149,17 @@ def entries(sets: Slice, ids: np.ndarray, plan: dict[int, tuple[int, int]], edge
         most = t.differ(2 * n if role == 0 else n + below)
         bound = t.differ(n + n * t.den // t.num) if role == 0 else most
         salt = mix(key.astype(np.uint64) + K[3])
-        sig, owner, weights = signatures(sets, chosen, m, ds[key], salt)
+        sig, owner, weights = signatures(sets, chosen, m, ds[key], salt, least)
         quota = np.where(ds[key] > 0, -(-(weights - most) // 2), weights - most)
         again = chosen & (weights <= bound)
         sig2, owner2, _ = signatures(sets, again, np.zeros_like(m), ds[key], salt + K[4])
         parts.append((np.concatenate([sig, sig2]), np.concatenate([owner, owner2]) * 2 + role, quota))
     sig = np.concatenate([p[0] for p in parts])
     ref = np.concatenate([p[1] for p in parts])
+    if only is not None:
+        cell = _cell(sig)
+        found = (only[cell >> 3] >> (cell & 7)) & 1 > 0
+        sig, ref = sig[found], ref[found]
     bucket = (sig >> np.uint64(48)).astype(np.int64) % buckets
     order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")
     bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -157,6 +177,10 @@ def entries(sets: Slice, ids: np.ndarray, plan: dict[int, tuple[int, int]], edge
             )
 
 
+def _cell(sig: np.ndarray) -> np.ndarray:
+    return (sig & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+
 ENTRY = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("sig", "ref", "id", "cls", "quota", "role"))])
 PACKED = pa.schema([("target", pa.int32()), ("found", pa.binary())])
 MERGED = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("qa", pa.int64()), ("qb", pa.int64())])
@@ -210,16 +234,24 @@ def group_pairs(sig, ids, cls, quota, role, light: int, hubs: int) -> np.ndarray
     large = sizes > light
     if large.any():
         start, size = at[large], sizes[large]
-        group = np.repeat(np.arange(len(start)), size)
         rows = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
         add(HEAVY, ids[rows], role[rows], 1, quota[rows], 0)
-        rank = np.lexsort((mix(ids[rows].astype(np.uint64) ^ K[5]), role[rows], group))
-        rows = rows[rank]  # sets of the own band first, in an order that is the same in all groups
-        heads = np.concatenate([[0], np.cumsum(size)[:-1]])
+        # Sets that large groups connect, each with the first ones in an order that is the same in all buckets.
+        nodes, where = np.unique(ids[rows], return_inverse=True)
+        turn = np.argsort(np.argsort(mix(nodes.astype(np.uint64) ^ K[5])))
+        root, heads = turn.copy(), np.concatenate([[0], np.cumsum(size)[:-1]])
+        while True:
+            new = root.copy()
+            np.minimum.at(new, where, np.repeat(np.minimum.reduceat(root[where], heads), size))
+            if (new == root).all():
+                break
+            root = new
+        order = np.lexsort((turn, root))
+        begin = np.flatnonzero(np.concatenate([[True], root[order][1:] != root[order][:-1]]))
+        many = np.diff(np.append(begin, len(order)))
         for k in range(hubs):
-            hub = rows[heads + np.minimum(k, size - 1)]
-            hub = np.where(role[hub] == 0, hub, rows[heads])[group]
-            add(STAR, ids[rows], ids[hub], 1, -int(k == 0), 0)
+            hub = np.repeat(order[begin + np.minimum(k, many - 1)], many)
+            add(STAR, nodes[order], nodes[hub], 1, -int(k == 0), 0)
     return merge_found(np.concatenate(out)) if out else np.empty(0, FOUND)
 
 
@@ -245,14 +277,6 @@ def _texts(batch: pa.RecordBatch):
         yield ids[a:b], texts[a:b]
 
 
-def _packed_sets(batch: pa.RecordBatch):
-    ids = batch.column(0).to_numpy(zero_copy_only=False)
-    packed = batch.column(1).to_pylist()
-    for a, b in slices(packed, 16 << 20):
-        hashes = np.frombuffer(b"".join(packed[a:b]), "<u8").astype(np.uint64)
-        yield ids[a:b], Slice(hashes, np.concatenate([[0], np.cumsum([len(p) // 8 for p in packed[a:b]])]))
-
-
 def meet(entered: DataFrame, light: int, hubs: int) -> DataFrame:
     """Merged findings of all buckets of ``entered`` (ENTRY). Null classes are the ids, null quotas 1, null roles 0, and
     without references entry i has id i."""
@@ -291,88 +315,200 @@ def meet(entered: DataFrame, light: int, hubs: int) -> DataFrame:
     return found.repartitionById(buckets, "target").mapInArrow(merge, _ddl(MERGED))
 
 
-def set_entries(rows: DataFrame, plan, edges, t: Threshold, *, packed: bool, width: int) -> DataFrame:
-    """Entries of (id, text) or (id, packed set)."""
+def set_entries(rows: DataFrame, plan, edges, t: Threshold, *, width: int, least: int = 1, only=None) -> DataFrame:
+    """Entries of (id, text); ``only``: a broadcast filter of signatures."""
     buckets = partitions(rows)
 
     def enter(batches):
         for batch in batches:
-            made = _packed_sets(batch) if packed else ((i, shingle_slice(x, width)) for i, x in _texts(batch))
-            for ids, sets in made:
-                found = list(entries(sets, ids, plan, edges, t, buckets))
+            for ids, texts in _texts(batch):
+                found = list(entries(shingle_slice(texts, width), ids, plan, edges, t, buckets, least, None if only is None else only.value))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), ENTRY, strict=True)], schema=ENTRY)
 
     return rows.mapInArrow(enter, _ddl(ENTRY))
 
 
-def verify(pairs: DataFrame, sets: DataFrame, similar) -> DataFrame:
-    """The (a, b) of ``pairs`` whose packed contents are similar, compared in full."""
+def signature_filter(rows: DataFrame, plan, edges, t: Threshold, *, width: int, least: int) -> np.ndarray:
+    """The filter of the signatures of (id, text): its chunks are added up on the executors, and their size is fixed."""
+
+    def mark(batches):
+        bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        for batch in batches:
+            for ids, texts in _texts(batch):
+                for row in entries(shingle_slice(texts, width), ids, plan, edges, t, 1, least):
+                    raw = np.frombuffer(row[1], np.uint8).reshape(-1, SIG_BYTES)
+                    sig = np.zeros((len(raw), 8), np.uint8)
+                    sig[:, :SIG_BYTES] = raw
+                    cell = _cell(sig.view("<u8").ravel())
+                    np.bitwise_or.at(bits, cell >> 3, (1 << (cell & 7)).astype(np.uint8))
+        chunks = bits.reshape(-1, FILTER_CHUNK)
+        full = np.flatnonzero(chunks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([zlib.compress(chunks[i].tobytes(), 1) for i in full], pa.binary())], ["chunk", "bits"])
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(FILTER_CHUNK, np.uint8)
+        for x in part["bits"]:
+            total |= np.frombuffer(zlib.decompress(x), np.uint8)
+        return pd.DataFrame({"chunk": [part["chunk"].iloc[0]], "bits": [zlib.compress(total.tobytes(), 1)]})
+
+    marked = rows.mapInArrow(mark, "chunk int, bits binary").groupBy("chunk").applyInPandas(add, "chunk int, bits binary")
+    out = np.zeros((1 << (FILTER_BITS - 3)) // FILTER_CHUNK * FILTER_CHUNK, np.uint8).reshape(-1, FILTER_CHUNK)
+    for row in marked.collect():
+        out[row["chunk"]] = np.frombuffer(zlib.decompress(bytes(row["bits"])), np.uint8)
+    return out.ravel()
+
+
+def is_similar(p: np.ndarray, q: np.ndarray, t: Threshold) -> bool:
+    """Whether two ascending arrays of distinct numbers are similar; empty ones never are."""
+    if not len(p) or min(len(p), len(q)) * t.den < max(len(p), len(q)) * t.num:
+        return False
+    common = overlap(p, q)
+    return common * t.den >= (len(p) + len(q) - common) * t.num
+
+
+def verify(pairs: DataFrame, sets: DataFrame, to_set, t: Threshold) -> DataFrame:
+    """The (a, b) of ``pairs`` whose sets are similar, compared in full."""
     left = sets.select(F.col("id").alias("a"), F.col("packed").alias("pa"))
     right = sets.select(F.col("id").alias("b"), F.col("packed").alias("pb"))
     both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "pa", "pb")
 
     def check(batches):
         for batch in batches:
-            keep = pa.array([similar(p, q) for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
+            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            keep = pa.array([is_similar(to_set(p), to_set(q), t) for p, q in pairs], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     return both.mapInArrow(check, "a bigint, b bigint")
 
 
-def settle(first: DataFrame, again, load, similar) -> DataFrame:
-    """(node, component) of all nodes with links.
+def _block_links(to_set, t: Threshold):
+    """Links of one block's queries to its sets, as many as join its components."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, labels = rows["id"].to_numpy(), rows["label"].to_numpy()
+        asks, holds, hidden = rows["asks"].to_numpy(), rows["holds"].to_numpy(), rows["hidden"].to_numpy()
+        sets = [to_set(p) for p in rows["packed"]]
+        sizes = np.array([len(x) for x in sets])
+        held = np.flatnonzero(holds)
+        owner = np.repeat(held, sizes[held])
+        hashes = np.concatenate([sets[i] for i in held]) if len(held) else np.empty(0, np.uint64)
+        order = np.argsort(hashes)
+        hashes, owner = hashes[order], owner[order]
+        out, joined = [], {}
+
+        def top(label):
+            while label in joined:
+                label = joined[label]
+            return label
+
+        for q in np.flatnonzero(asks):
+            low, high = np.searchsorted(hashes, sets[q], "left"), np.searchsorted(hashes, sets[q], "right")
+            n = high - low
+            hits = owner[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            common = np.bincount(hits, minlength=len(sets))
+            good = (common > 0) & (common * t.den >= (sizes + sizes[q] - common) * t.num) & (labels != labels[q]) & (hidden | hidden[q])
+            found = np.flatnonzero(good)
+            _, first = np.unique(labels[found], return_index=True)
+            for i in found[first]:
+                x, y = top(labels[q]), top(labels[i])
+                if x != y:
+                    joined[max(x, y)] = min(x, y)
+                    out.append((ids[q], ids[i]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    ``first`` are the entries of all nodes, ``load`` gives (id, packed) for wanted ids, ``again`` the entries of such rows,
-    and ``similar`` compares two packed contents. Pairs of small groups are kept if they share enough signatures.
-    Large groups give stars around a few hubs, where they could hide all that a node shares. If afterwards some star
-    isn't within one component, its nodes go through another round with larger limits, until all are.
+    return run
+
+
+def _findings(found: DataFrame):
+    """(pairs with their counts, stars, hidden sets (x)) of one level's findings.
+
+    A pair counts from the view of its larger set, which one of the two views is: it needs that set's quota, less what large
+    groups hide. A set whose whole quota could be hidden is left to what follows for large groups; without a common large
+    group, though, a pair has the whole quota.
+    """
+    heavy = found.filter(F.col("kind") == HEAVY).select("a", F.col("b").alias("role"), F.col("n").alias("h"), F.col("qa").alias("quota"))
+    stars = found.filter(F.col("kind") == STAR).select("a", "b")
+    role = F.when((F.col("qa") == FREE) | (F.col("qb") == FREE), 1).otherwise(0).cast("bigint")
+    pairs = found.filter(F.col("kind") == PAIR).withColumn("role", role)
+    pairs = pairs.join(heavy.select("a", "role", F.col("h").alias("ha")), ["a", "role"], "left")
+    pairs = pairs.join(heavy.select(F.col("a").alias("b"), "role", F.col("h").alias("hb")), ["b", "role"], "left")
+    pairs = pairs.withColumns({"la": F.col("qa") - F.coalesce("ha", F.lit(0)), "lb": F.col("qb") - F.coalesce("hb", F.lit(0))})
+    view = lambda q, left: ((F.col(left) >= 1) & (F.col("n") >= F.col(left))) | (F.col("n") >= F.greatest(F.lit(1), F.col(q)))
+    kept = pairs.filter(view("qa", "la") | view("qb", "lb"))
+    return kept.select("a", "b", "n"), stars, heavy.filter("quota <= h").select(F.col("a").alias("x")).distinct()
+
+
+def settle(entered: DataFrame, load, to_set, t: Threshold, *, deeper=None, light: int = LIGHT, hubs: int = HUBS) -> DataFrame:
+    """(node, component) of all nodes with links, from the entries of all nodes.
+
+    ``load`` gives (id, packed) for wanted ids, ``to_set`` the ascending set of a packed content, ``deeper`` (if any)
+    entries with longer segments, as far as they may meet those of given ids.
+
+    Pairs of groups of up to ``light`` sets are kept if they share enough signatures. Where larger groups could hide all that a
+    set has to share, all sets are entered again with longer segments, as far as they may meet its own. What is hidden
+    even then is in clusters, which common large groups connect: their sets are compared with a hub first, and if a cluster
+    isn't within one component then, all that may still link is compared in blocks. A missing link joins two
+    components and has an end that was hidden, so the queries are the cluster's hidden sets or its sets outside of
+    its largest component, whichever are fewer. So no limit loses a link.
     """
-    labels = sets = None
-    links: list[DataFrame] = []
-    light, hubs, entered = LIGHT, HUBS, first
-    while True:
-        found = cut(meet(entered, light, hubs))
-        heavy = found.filter(F.col("kind") == HEAVY).select("a", F.col("b").alias("role"), F.col("n").alias("h"), F.col("qa").alias("quota"))
-        stars = found.filter(F.col("kind") == STAR).select("a", "b", (F.col("qa") < 0).alias("first"))
-        role = F.when((F.col("qa") == FREE) | (F.col("qb") == FREE), 1).otherwise(0).cast("bigint")
-        pairs = found.filter(F.col("kind") == PAIR).withColumn("role", role)
-        pairs = pairs.join(heavy.select("a", "role", F.col("h").alias("ha")), ["a", "role"], "left")
-        pairs = pairs.join(heavy.select(F.col("a").alias("b"), "role", F.col("h").alias("hb")), ["b", "role"], "left")
-        enough = F.least(F.col("qa") - F.coalesce("ha", F.lit(0)), F.col("qb") - F.coalesce("hb", F.lit(0)))
-        pairs = pairs.filter(F.col("n") >= F.greatest(F.lit(1), enough)).select("a", "b")
-        hidden = heavy.filter("quota <= h").select(F.col("a").alias("x")).distinct()
-        centres = stars.filter("first").join(hidden, F.col("a") == F.col("x"), "left_semi").select("b")
-        centres = centres.union(stars.select("b").join(hidden, F.col("b") == F.col("x"), "left_semi")).distinct()
-        stars = cut(stars.join(centres, "b", "left_semi").filter("a <> b"))
-        todo = pairs.union(stars.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if labels is not None:
-            todo = _labelled(todo, labels).filter("la <> lb").select("a", "b")
-        todo = cut(todo)
-        if sets is None:
-            sets = cut(load(todo.select(F.col("a").alias("id")).union(todo.select("b")).distinct()))
-        links.append(cut(verify(todo, sets, similar)))
-        union = links[0]
-        for more in links[1:]:
-            union = union.union(more)
-        labels = components(union)
-        split = _labelled(stars.filter("first"), labels).filter("la <> lb").select("b").distinct()
-        open_nodes = cut(stars.join(split, "b", "left_semi").select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        if open_nodes.isEmpty():
-            return labels
-        entered = again(sets.join(open_nodes, "id", "left_semi"))
-        light, hubs = light * GROWTH, hubs * GROWTH
-
-
-def similar_sets(t: Threshold):
-    def similar(p: bytes, q: bytes) -> bool:
-        p, q = np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")
-        if not len(p) or min(len(p), len(q)) * t.den < max(len(p), len(q)) * t.num:
-            return False
-        common = overlap(p, q)
-        return common * t.den >= (len(p) + len(q) - common) * t.num
-
-    return similar
+    pairs, stars, hidden = _findings(cut(meet(entered, light, hubs), TASK_ROWS))
+    hidden = cut(hidden, TASK_ROWS)
+    if deeper is not None and not hidden.isEmpty():
+        more, stars, also = _findings(cut(meet(deeper(hidden.withColumnRenamed("x", "id")), light, hubs), TASK_ROWS))
+        one, two = hidden.select(F.col("x").alias("a"), F.lit(1).alias("ka")), hidden.select(F.col("x").alias("b"), F.lit(1).alias("kb"))
+        more = more.join(one, "a", "left").join(two, "b", "left").filter("ka = 1 OR kb = 1").select("a", "b", "n")
+        pairs, hidden = pairs.union(more), cut(hidden.join(also, "x", "left_semi"), TASK_ROWS)
+    if hidden.isEmpty():
+        stars = stars.limit(0)
+    # Stars lead to the first set of what large groups connect; those of one component of stars are a cluster.
+    clusters = components(stars.filter("a <> b"))
+    kept = clusters.join(hidden, F.col("node") == F.col("x"), "left_semi").select("component").distinct()
+    clusters = clusters.join(kept, "component", "left_semi")
+    ties = cut(clusters.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")), TASK_ROWS)
+    todo = cut(pairs.union(ties.withColumn("n", F.lit(FREE).cast("bigint"))).groupBy("a", "b").agg(F.max("n").alias("n")), TASK_ROWS)
+    sets = cut(load(todo.select(F.col("a").alias("id")).union(todo.select("b")).distinct()), SET_ROWS)
+    # Each set's likeliest pair first; of the others only those that could still join two components.
+    likely = Window.partitionBy("b").orderBy(F.desc("n"), "a")
+    ranked = todo.withColumn("rank", F.row_number().over(likely))
+    links = cut(verify(ranked.filter("rank = 1 OR n = " + str(FREE)), sets, to_set, t), TASK_ROWS)
+    rest = _labelled(ranked.filter("rank > 1 AND n < " + str(FREE)), components(links)).filter("la <> lb")
+    links = cut(links.union(verify(rest, sets, to_set, t)), TASK_ROWS)
+    labels = components(links)
+    split = _labelled(ties, labels).filter("la <> lb").select(F.col("b").alias("node"))
+    if split.isEmpty():
+        return labels
+    clusters = clusters.select("node", F.col("component").alias("cluster"))
+    broken = clusters.join(split, "node", "left_semi").select("cluster").distinct()
+    members = clusters.join(broken, "cluster", "left_semi").join(labels, "node", "left")
+    members = members.join(hidden.select(F.col("x").alias("node"), F.lit(True).alias("hidden")), "node", "left")
+    members = cut(members.select("cluster", F.col("node").alias("id"), F.coalesce("component", "node").alias("label"), F.coalesce("hidden", F.lit(False)).alias("hidden")), TASK_ROWS)
+    counts = members.groupBy("cluster", "label").agg(F.count("*").alias("n"), F.sum(F.col("hidden").cast("bigint")).alias("h"))
+    counts = counts.groupBy("cluster").agg(F.sum("n").alias("sets"), F.sum("h").alias("hiding"), F.max(F.struct("n", "label")).alias("top"))
+    asks = F.when(F.col("hiding") < F.col("sets") - F.col("top.n"), F.col("hidden")).otherwise(F.col("label") != F.col("top.label"))
+    rows = members.join(counts, "cluster").withColumn("asks", asks)
+    queries = F.least(F.col("hiding"), F.col("sets") - F.col("top.n"))
+    rows = rows.withColumns({
+        "nm": F.ceil(F.col("sets") / BLOCK_SETS).cast("int"), "nq": F.greatest(F.lit(1), F.ceil(queries / BLOCK_QUERIES).cast("int")),
+    }).join(sets, "id")
+    spread = F.xxhash64("id")
+    held = rows.select("cluster", "id", "label", "hidden", "packed", F.lit(False).alias("asks"), F.lit(True).alias("holds"),
+        F.pmod(spread, "nm").cast("int").alias("m"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"))
+    asking = rows.filter("asks").select("cluster", "id", "label", "hidden", "packed", F.lit(True).alias("asks"), F.lit(False).alias("holds"),
+        F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("m"), F.pmod(spread, "nq").cast("int").alias("q"))
+    more = held.union(asking).groupBy("cluster", "m", "q").applyInPandas(_block_links(to_set, t), "a bigint, b bigint")
+    return components(links.union(more))
+
+
+def only_ids(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The ``rows`` whose id is in ``wanted``. Most others go before the shuffle, by cells of ids, of which there are 2**20 at most."""
+    cell = F.pmod(F.xxhash64("id"), F.lit(1 << 20)).cast("int")
+    cells = F.broadcast(wanted.select(cell.alias("cell")).distinct())
+    return rows.withColumn("cell", cell).join(cells, "cell", "left_semi").drop("cell").join(wanted, "id", "left_semi")
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, "<u8")
 
 
 def similar_components(
@@ -391,10 +527,8 @@ def similar_components(
        into segments; each set's filled segments, and for some also what is left after any one deletion, are
        signatures (``allocate``). Similar sets differ in so few elements that at least ``quota`` signatures are shared.
     3. Signatures meet by bucket. Pairs of a signature with few sets are counted over all buckets and kept if the count
-       reaches the larger set's quota, less its signatures that many sets share. Those give stars around a few
-       hubs, and only if they could hide the whole quota of a set. If afterwards some star isn't within one component,
-       its sets go through another round with larger limits, until all are; so no limit loses a link.
-    4. Kept pairs are compared in full; components follow from the links.
+       reaches the larger set's quota, less its signatures that many sets share.
+    4. Kept pairs are compared in full, and components follow; what signatures of many sets could hide is compared, too (``settle``).
 
     Null and empty texts have no shingles and are linked with nothing. Rows with equal ids are one node. Rows with a null
     id are returned with a null component. An empty table gives no rows. Other columns are ignored.
@@ -422,15 +556,20 @@ def similar_components(
         k = int(np.searchsorted(edges, c["n"], "right")) - 1
         population[k] = population.get(k, 0) + c["c"]
     top = max(population, default=0)
-    plan = {k: allocate(int(edges[k]), int(edges[k + 1]), population.get(k, 1), t) for k in range(top + 1)}
+    plan, deep = ({k: allocate(int(edges[k]), int(edges[k + 1]), population.get(k, 1), t, deep=d) for k in range(top + 1)} for d in (False, True))
 
     source = rows.filter("id IS NOT NULL")
+
+    def deeper(hidden):
+        options = {"width": width, "least": DEEP_LEAST}
+        bits = signature_filter(only_ids(source, hidden), deep, edges, t, **options)
+        return set_entries(source, deep, edges, t, only=docs.sparkSession.sparkContext.broadcast(bits), **options)
+
     labels = settle(
-        set_entries(source, plan, edges, t, packed=False, width=width),
-        lambda sets: set_entries(sets, plan, edges, t, packed=True, width=width),
-        lambda wanted: source.join(wanted, "id", "left_semi").mapInArrow(_to_sets(width), "id bigint, packed binary"),
-        similar_sets(t),
-    )
+        set_entries(source, plan, edges, t, width=width),
+        lambda wanted: only_ids(source, wanted).mapInArrow(_to_sets(width), "id bigint, packed binary"),
+        unpack, t, deeper=deeper,
+    )
 
     salts = max(32, partitions(docs))
     keys = ["h1", "h2", "n"]
@@ -443,6 +582,13 @@ def similar_components(
     return salted.join(parts, [*keys, "salt"]).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), mine.alias("component_id"))
 
 
+def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` whose identifier is the smallest of its component, and those without an identifier."""
+    found = similar_components(docs, id_col=id_col, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep"))
+    kept = docs.join(found, F.col(id_col).cast("bigint") == F.col("_keep"), "left_semi")
+    return kept.union(docs.filter(F.col(id_col).isNull()))
+
+
 def _to_sets(width: int):
     def run(batches):
         for batch in batches:
