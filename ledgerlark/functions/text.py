@@ -24,15 +24,11 @@ FORMAL_UNITS = {"拾": 10, "佰": 100, "仟": 1000}
 
 def cents(text: Column) -> Column:
     """Money text as cents: not negative, at most two decimals and MOST_MONEY; null otherwise."""
-    value = F.expr(f"try_cast({_sql(text)} AS decimal(18,4))") if isinstance(text, str) else text.try_cast("decimal(18,4)")
+    value = text.try_cast("decimal(18,4)")
     good = (value >= 0) & (value <= MOST_MONEY) & (value * 100 == F.floor(value * 100))
     return F.when(good, (value * 100).cast("bigint"))
 
 
-def _sql(name: str) -> str:
-    return f"`{name}`"
-
-
 def compact(text: Column) -> Column:
     """Text without white space, lower case."""
     return F.lower(F.regexp_replace(text, r"\s+", ""))
