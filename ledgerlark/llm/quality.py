@@ -103,13 +103,18 @@ def judge(
     df = with_repeats(df).drop("words")
     df = df.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(WORD)))
     df = df.withColumn("_good", F.filter(F.split("_text", "\n"), lambda x: ~x.rlike(WORD) | ~line_fails(x)))
-    chars = lambda c: F.length(F.translate(c, BLANKS, "")).cast("bigint")
+
+    def chars(column: Column) -> Column:
+        for blank in BLANKS:
+            column = F.replace(column, F.lit(blank), F.lit(""))
+        return F.length(column).cast("bigint")
+
     cleaned = F.array_join("_good", "\n")
     df = df.withColumn("_cleaned", cleaned).withColumn("word_chars", chars(text)).withColumn("kept_chars", chars(F.col("_cleaned")))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     quality = F.struct(
         "n_words", "word_chars",
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("bigint").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
         "n_repeat_words", failed.alias("base_failed"),
         (~failed & (100 * F.col("kept_chars") >= min_kept_percent * F.col("word_chars"))).alias("kept"),
