@@ -32,7 +32,7 @@ BLOCK_SETS, BLOCK_QUERIES = 2000, 500
 SLACK = 1.25
 #: For the cost of an allocation: how likely a shingle of one set is in another one, and a false pair against an entry.
 SHARE, PAIR_COST = 1e-3, 1.0
-SIG_BYTES = 5
+SIG_BYTES = 4
 FREE = 1 << 30
 K = [mix(np.array([i], np.uint64))[0] for i in range(11, 19)]
 
@@ -172,11 +172,21 @@ def entries(sets: Slice, ids: np.ndarray, plan: dict[int, tuple[int, int]], edge
             doc, role = names >> 1, names & 1
             quota = np.where(role == 0, parts[0][2][doc], parts[1][2][doc])
             yield (
-                b, low[x:y].tobytes(), where.astype("<u4").tobytes(), ids[doc].astype("<i8").tobytes(),
-                cls[doc].astype("<u8").tobytes(), quota.astype("<i4").tobytes(), role.astype("u1").tobytes(),
+                b, low[x:y].tobytes(), planes(where.astype("<u4")), planes(ids[doc].astype("<i8")), cls[doc].astype("<u8").tobytes(),
+                planes(quota.astype("<i4")), role.astype("u1").tobytes(),
             )
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """All first bytes, then all second ones and so on: high bytes are alike, and the shuffle's compression finds them."""
+    return numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+
+
+def of_planes(raw: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
 def _cell(sig: np.ndarray) -> np.ndarray:
     return (sig & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
 
@@ -290,10 +300,13 @@ def meet(entered: DataFrame, light: int, hubs: int) -> DataFrame:
                 sig = np.zeros((len(raw), 8), np.uint8)
                 sig[:, :SIG_BYTES] = raw
                 n = len(row["id"]) // 8
-                ref = np.arange(n) if row["ref"] is None else np.frombuffer(row["ref"], "<u4")
+                ref = np.arange(n) if row["ref"] is None else of_planes(row["ref"], "<u4")
                 held["sig"].append(sig.view("<u8").ravel())
-                for c, kind, other in (("id", "<i8", b""), ("cls", "<u8", row["id"]), ("quota", "<i4", b"\1\0\0\0" * n), ("role", "u1", bytes(n))):
-                    held[c].append(np.frombuffer(other if row[c] is None else row[c], kind)[ref])
+                ids = of_planes(row["id"], "<i8")
+                held["id"].append(ids[ref])
+                held["cls"].append((ids.view("<u8") if row["cls"] is None else np.frombuffer(row["cls"], "<u8"))[ref])
+                held["quota"].append(np.ones(n, np.int32) if row["quota"] is None else of_planes(row["quota"], "<i4")[ref])
+                held["role"].append(np.zeros(n, np.uint8) if row["role"] is None else np.frombuffer(row["role"], "u1")[ref])
         if held["sig"]:
             rec = group_pairs(*(np.concatenate(held[c]) for c in ("sig", "id", "cls", "quota", "role")), light, hubs)
             target = (mix(rec["a"].astype(np.uint64) ^ mix(rec["b"].astype(np.uint64))) % np.uint64(buckets)).astype(np.int64)
