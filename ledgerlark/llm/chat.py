@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import cut
+from ledgerlark.llm.common import TASK_ROWS, cut
 
 BEGIN = "<s>"
 #: How a turn of each role opens and closes; other roles are named between ROLE_OPEN and ROLE_CLOSE.
@@ -47,7 +47,8 @@ def leaf_paths(messages: DataFrame, *, top: int | None = None) -> DataFrame:
         rows.select(
             "tree", "node", F.when(F.col("_known"), F.col("parent")).alias("up"),
             F.when(F.col("_known"), F.lit(1)).otherwise(F.lit(0)).alias("depth"), "total",
-        )
+        ),
+        TASK_ROWS,
     )
     levels = []
     done, going = state.filter("up IS NULL"), state.filter("up IS NOT NULL")
@@ -62,7 +63,8 @@ def leaf_paths(messages: DataFrame, *, top: int | None = None) -> DataFrame:
             going.join(over, ["tree", "up"]).select(
                 "tree", "node", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"),
                 (F.col("total") + F.col("_total")).alias("total"),
-            )
+            ),
+            TASK_ROWS,
         )
         done, going = done.union(moved.filter("up IS NULL")), moved.filter("up IS NOT NULL")
     inner = messages.filter("parent IS NOT NULL").select("tree", F.col("parent").alias("node"))
