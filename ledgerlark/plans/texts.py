@@ -103,7 +103,7 @@ def json_projection(spark, sf_dir):
     r"SELECT doc_id, CASE WHEN regexp_matches(ltrim(text), '^[=+\-@]') THEN chr(39) || substr(text, 1, 40) ELSE substr(text, 1, 40) END AS cell FROM documents",
 )
 def csv_safe_cells(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", fn.safe_cell(F.substring("text", 1, 40)).alias("cell"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(fn.safe_cell(F.col("text")), 256).alias("digest"))
 
 
 @register(
