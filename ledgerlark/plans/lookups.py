@@ -173,9 +173,10 @@ def linked_closure(spark, sf_dir):
     from ledgerlark.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
-    keys = table(spark, sf_dir, "customer").select("c_custkey")
-    edges = keys.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("src"), ((F.col("c_custkey") * 7) % 1000).alias("dst"))
-    return ops.closure(keys.filter("c_custkey % 250 = 0").select(F.col("c_custkey").alias("node")), edges)
+    people = table(spark, sf_dir, "customer")
+    ends = F.broadcast(people.agg(F.count("*").alias("n")))
+    edges = table(spark, sf_dir, "orders").crossJoin(ends).select(F.col("o_custkey").alias("src"), ((F.col("o_orderkey") * 31) % F.col("n")).alias("dst")).distinct()
+    return ops.closure(people.filter("c_mktsegment = 'BUILDING' AND c_acctbal < 0").select(F.col("c_custkey").alias("node")), edges)
 
 
 @register(

@@ -13,6 +13,8 @@ WHOLE = {
     "merge_duplicates": f"""WITH {M}, a AS (SELECT DISTINCT pool AS item, number % 50 AS digest, role FROM m), g AS (SELECT DISTINCT pool AS source, pool - 1 AS target FROM m WHERE pool % 4 = 3),
         k AS (SELECT * FROM a WHERE item NOT IN (SELECT source FROM g)) SELECT * FROM k UNION SELECT target, digest, role FROM a JOIN g ON a.item = g.source""",
     "csv_safe_cells": r"SELECT doc_id, sha256(CASE WHEN regexp_matches(ltrim(text), '^[=+\-@]') THEN chr(39) || text ELSE text END) AS digest FROM documents",
+    "linked_closure": """WITH RECURSIVE g AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 31) % (SELECT count(*) FROM customer) AS dst FROM orders),
+        r AS (SELECT c_custkey AS node FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal < 0 UNION SELECT g.dst FROM r JOIN g ON r.node = g.src) SELECT node FROM r""",
 }
 
 
