@@ -131,7 +131,7 @@ def rowid_scan(spark, sf_dir):
 
 @register("ordered_point_lookup", "SELECT w.pos, o_orderkey AS id, o_orderstatus AS status FROM (SELECT event_id AS pos, (user_id * 31) % 1500 AS k FROM events WHERE event_id < 200) w JOIN orders ON o_orderkey = w.k")
 def ordered_point_lookup(spark, sf_dir):
-    wanted = table(spark, sf_dir, "events").filter("event_id < 200").select(F.col("event_id").alias("pos"), ((F.col("user_id") * 31) % 1500).alias("k"))
+    wanted = adapters.message(spark, sf_dir).select(F.col("id").alias("pos"), (F.col("chat") * 100 + F.col("local_id")).alias("k"))
     orders = table(spark, sf_dir, "orders")
     return wanted.join(orders, wanted["k"] == orders["o_orderkey"]).select("pos", F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
 

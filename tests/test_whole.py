@@ -15,6 +15,7 @@ WHOLE = {
     "csv_safe_cells": r"SELECT doc_id, sha256(CASE WHEN regexp_matches(ltrim(text), '^[=+\-@]') THEN chr(39) || text ELSE text END) AS digest FROM documents",
     "linked_closure": """WITH RECURSIVE g AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 31) % (SELECT count(*) FROM customer) AS dst FROM orders),
         r AS (SELECT c_custkey AS node FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal < 0 UNION SELECT g.dst FROM r JOIN g ON r.node = g.src) SELECT node FROM r""",
+    "ordered_point_lookup": f"WITH {MSG} SELECT msg.id AS pos, o_orderkey AS id, o_orderstatus AS status FROM msg JOIN orders ON o_orderkey = chat * 100 + local_id",
 }
 
 
