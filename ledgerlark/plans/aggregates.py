@@ -31,8 +31,7 @@ def person_allocation(spark, sf_dir):
 )
 def zero_filled_summary(spark, sf_dir):
     people = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("owner"))
-    few = adapters.expense(spark, sf_dir).filter("category = '1-URGENT' AND project = 3")
-    return ops.zero_filled(people, ops.person_allocation(few))
+    return ops.zero_filled(people, ops.person_allocation(adapters.expense(spark, sf_dir)))
 
 
 @register(

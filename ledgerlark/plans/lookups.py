@@ -88,7 +88,7 @@ def dedup_digest(spark, sf_dir):
 )
 def duplicate_lookup_or(spark, sf_dir):
     rows = adapters.expense(spark, sf_dir)
-    return ops.duplicates_by_any(rows.filter("stage = 'submitted' AND project < 5"), rows.filter("stage = 'draft'"), ["cents", "merchant"])
+    return ops.duplicates_by_any(rows.filter("stage = 'submitted'"), rows.filter("stage = 'draft'"), ["cents", "merchant"])
 
 
 @register(

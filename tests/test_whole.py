@@ -4,6 +4,7 @@ import pytest
 
 from ledgerlark import adapters
 from ledgerlark.plans import registry
+from ledgerlark.plans.aggregates import ALLOCATION
 from tests.helpers import HAVE_DATA, agrees
 
 pytestmark = pytest.mark.skipif(not HAVE_DATA, reason="no driver tables")
@@ -16,6 +17,12 @@ WHOLE = {
     "linked_closure": """WITH RECURSIVE g AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 31) % (SELECT count(*) FROM customer) AS dst FROM orders),
         r AS (SELECT c_custkey AS node FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal < 0 UNION SELECT g.dst FROM r JOIN g ON r.node = g.src) SELECT node FROM r""",
     "ordered_point_lookup": f"WITH {MSG} SELECT msg.id AS pos, o_orderkey AS id, o_orderstatus AS status FROM msg JOIN orders ON o_orderkey = chat * 100 + local_id",
+    "duplicate_lookup_or": f"""WITH {E}, k AS (SELECT * FROM e WHERE stage = 'draft'), r AS (SELECT * FROM e WHERE stage = 'submitted'),
+        h AS (SELECT id, 'cents' AS why FROM r WHERE cents IN (SELECT cents FROM k) UNION SELECT id, 'merchant' FROM r WHERE merchant IN (SELECT merchant FROM k))
+        SELECT id, string_agg(why, ',' ORDER BY why) AS reasons FROM h GROUP BY id""",
+    "zero_filled_summary": f"""WITH {E}, a AS ({ALLOCATION.format(where="")}), p AS (SELECT DISTINCT c_mktsegment AS owner FROM customer UNION ALL SELECT '')
+        SELECT p.owner, coalesce(items, 0) AS items, coalesce(cents, 0) AS cents, coalesce(packaged, 0) AS packaged,
+            coalesce(ready, 0) AS ready, coalesce(pending, 0) AS pending FROM p LEFT JOIN a ON p.owner = a.owner""",
 }
 
 
