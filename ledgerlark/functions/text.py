@@ -40,6 +40,23 @@ def compatibility_form(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else "".join(unicodedata.normalize("NFKC", t).split()))
 
 
+def merchant_identity(text: Column) -> Column:
+    """A merchant's name in normal form, without outer colons and dots and without a flash-shopping badge in front."""
+    name = F.regexp_replace(compatibility_form(text), "^[:：·]+|[:：·]+$", "")
+    return F.regexp_replace(name, "^闪购[:：·]?", "")
+
+
+def invoice_date(text: Column) -> Column:
+    """The labelled invoice date, else the only date in the text; null where there is none, several, or no such day."""
+    flat = compatibility_form(text)
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, "[年月/.]", "-"), "日", "")
+    labelled = [F.regexp_extract(flat, p, 1) for p in (r"开票日期[:：]?(\d{4}年\d{1,2}月\d{1,2}日)", r"(?i)INVOICEDATE[:：]?(\d{4}[-/.]\d{1,2}[-/.]\d{1,2})")]
+    every = [F.array_distinct(F.transform(F.regexp_extract_all(flat, F.lit(p), F.lit(0)), plain)) for p in (r"\d{4}年\d{1,2}月\d{1,2}日", r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}")]
+    only = F.when(F.size(every[0]) > 0, every[0]).otherwise(every[1])
+    found = F.when(labelled[0] != "", plain(labelled[0])).when(labelled[1] != "", plain(labelled[1])).when(F.size(only) == 1, F.try_element_at(only, F.lit(1)))
+    return F.try_to_timestamp(found, F.lit("yyyy-M-d")).cast("date")
+
+
 @F.pandas_udf(LongType())
 def formal_cents(text: pd.Series) -> pd.Series:
     """Cents of an amount in formal Chinese numerals; null where the order of units is broken."""

@@ -114,3 +114,26 @@ def canonical_fingerprint(spark, sf_dir):
     part = F.struct("o_orderkey", F.concat_ws(":", "o_orderkey", "o_orderstatus").alias("s"))
     parts = F.transform(F.sort_array(F.collect_list(part)), lambda p: p["s"])
     return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.sha2(F.array_join(parts, ","), 256).alias("fingerprint"))
+
+
+@register("compatibility_text")
+def compatibility_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(fn.compatibility_form(F.col("text")), 256).alias("digest"))
+
+
+@register("merchant_identity")
+def merchant_identity(spark, sf_dir):
+    at, name = F.col("c_custkey") % 4, F.col("c_name")
+    text = F.when(at == 0, F.concat(F.lit("闪购："), name)).when(at == 1, F.concat(F.lit(" ·"), name, F.lit("（总店）:"))).when(at == 2, F.concat(F.lit("闪购"), name)).otherwise(name)
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), fn.merchant_identity(text).alias("merchant"))
+
+
+@register("invoice_date")
+def invoice_date(spark, sf_dir):
+    at, day = F.col("o_orderkey") % 5, lambda pattern: F.date_format("o_orderdate", pattern)
+    text = (
+        F.when(at == 0, F.concat(F.lit("2001年2月3日 开票日期： "), day("yyyy年M月d日"))).when(at == 1, F.concat(F.lit("Invoice Date: "), day("yyyy/MM/dd")))
+        .when(at == 2, F.concat(day("yyyy-MM-dd"), F.lit(" 共 "), day("yyyy.MM.dd"))).when(at == 3, F.concat(day("yyyy年MM月dd日"), F.lit(",2001年2月3日")))
+        .otherwise(F.concat(F.lit("开票日期:2001年2月30日 "), day("yyyy-MM-dd")))
+    )
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), fn.invoice_date(text).alias("date"))

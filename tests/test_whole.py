@@ -1,11 +1,16 @@
 """Queries over whole tables, against SQL of the whole job."""
 
+import datetime
+import hashlib
+import unicodedata
+
 import pytest
 
 from ledgerlark import adapters
 from ledgerlark.plans import registry
 from ledgerlark.plans.aggregates import ALLOCATION
-from tests.helpers import HAVE_DATA, agrees
+from ledgerlark.session import table
+from tests.helpers import HAVE_DATA, SF, agrees
 
 pytestmark = pytest.mark.skipif(not HAVE_DATA, reason="no driver tables")
 
@@ -30,3 +35,20 @@ WHOLE = {
 @pytest.mark.parametrize("name", WHOLE)
 def test_whole_tables(spark, name):
     agrees(spark, registry.QUERIES[name], WHOLE[name])
+
+
+def test_compatibility_text_of_all_documents(spark):
+    flat = lambda t: "".join(unicodedata.normalize("NFKC", t).split())
+    want = {r.doc_id: hashlib.sha256(flat(r.text).encode()).hexdigest() for r in table(spark, SF, "documents").collect()}
+    assert {r.doc_id: r.digest for r in registry.QUERIES["compatibility_text"](spark, SF).collect()} == want
+
+
+def test_merchant_identity_of_all_customers(spark):
+    flat = lambda t: "".join(t.split())
+    want = {r.c_custkey: flat(r.c_name) + ("(总店)" if r.c_custkey % 4 == 1 else "") for r in table(spark, SF, "customer").collect()}
+    assert {r.id: r.merchant for r in registry.QUERIES["merchant_identity"](spark, SF).collect()} == want
+
+
+def test_invoice_date_of_all_orders(spark):
+    want = {r.o_orderkey: r.o_orderdate.date() if r.o_orderkey % 5 < 3 or r.o_orderkey % 5 == 3 and r.o_orderdate.date() == datetime.date(2001, 2, 3) else None for r in table(spark, SF, "orders").collect()}
+    assert {r.id: r.date for r in registry.QUERIES["invoice_date"](spark, SF).collect()} == want
