@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -11,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-#: Encoded words kept by each worker; when full they are dropped and made anew.
-CACHE_WORDS = 300_000
+#: Entries of the newer half of each cache of a worker. At most twice as many are kept, each of CACHE_BYTES at most, so
+#: the three caches of a worker take some 70 MB whatever the input.
+CACHE_WORDS, CACHE_BYTES = 100_000, 100
 #: Rows that are held as Python objects at a time.
 SLICE_ROWS = 256
 END = ""  # a word's end; no byte symbol is this character
@@ -26,6 +28,26 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+class Recent(dict):
+    """A dict of recent entries: when it is full, they become ``older``, in place of those before. A hit there renews the entry."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.older: dict = {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class WordBpe:
     """A tokenizer file with word ends: NFC, lower case, words by pattern, byte symbols, merges by rank.
 
@@ -62,9 +84,7 @@ class WordBpe:
             spelt = token[: -len(suffix)] + END if token.endswith(suffix) and len(token) > len(suffix) else token
             self.matcher.add_word(spelt, (number, len(spelt)))
         self.matcher.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.known: dict[bytes, bytes] = {}
-        self.spelt: dict[str, list[int]] = {}
+        self.pairs, self.known, self.spelt = Recent(), Recent(), Recent()
         strings = {**{i: t for t, i in vocab.items()}, **{i: t for t, i in self.added.items()}}
         spelled = [(strings.get(i, "") + " ").encode() for i in range(max(strings) + 1)]
         self.offsets = np.concatenate([[0], np.cumsum([len(s) for s in spelled])]).astype(np.int64)
@@ -76,7 +96,7 @@ class WordBpe:
         Grows the tokens at the border in the order in which merges form them; the border falls if the two that
         touch at some time have a merge that comes first (of equal ranks, the one further left comes first).
         """
-        found = self.pairs.get((left, right))
+        found = self.pairs[left << 32 | right]
         if found is None:
             a, b = [left], [right]
             while a[-1] in self.halves:
@@ -94,65 +114,79 @@ class WordBpe:
                     found = True
                     break
                 (a if next_a <= next_b else b).pop()
-            if len(self.pairs) >= 4 * CACHE_WORDS:
-                self.pairs.clear()
-            self.pairs[left, right] = found
+            self.pairs.put(left << 32 | right, found)
         return found
 
     def encode_word(self, word: str) -> list[int]:
         """Token ids of a word that is given in byte symbols."""
         n = len(word) + 1
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for last, (token, length) in self.matcher.iter(word + END):
-            starts[last - length + 1].append((token, last + 1))  # longer ones come later
-        is_open = [True] * (n + 1)
-        is_open[n - 1] = False  # the end alone is no token
+        starts: list[list[tuple[int, int]] | None] = [None] * (n + 1)
+        for last, found in self.matcher.iter(word + END):
+            at = last - found[1] + 1
+            here = starts[at]
+            if here is None:
+                starts[at] = [found]
+            else:
+                here.append(found)  # longer ones come later
+        is_open = bytearray(b"\x01") * (n + 1)
+        is_open[n - 1] = 0  # the end alone is no token
+        pairs, none = self.pairs, []
         tiles: list[tuple[int, int, int]] = []
-        at, left = 0, len(starts[0])
+        before, at, here = -1, 0, starts[0] or none
+        left = len(here)
         while at < n:
-            here = starts[at]
             while left:
                 left -= 1
-                token, after = here[left]
-                if is_open[after] and (not tiles or self.compatible(tiles[-1][0], token)):
-                    tiles.append((token, at, left))
-                    at = after
-                    left = len(starts[at]) if at < n else 0
-                    break
+                token, length = here[left]
+                after = at + length
+                if is_open[after]:
+                    fits = before < 0 or pairs[before << 32 | token]
+                    if fits is None:
+                        fits = self.compatible(before, token)
+                    if fits:
+                        tiles.append((token, at, left))
+                        before, at = token, after
+                        here = starts[at] or none
+                        left = len(here)
+                        break
             else:
-                is_open[at] = False
+                is_open[at] = 0
                 _, at, left = tiles.pop()
+                before, here = tiles[-1][0] if tiles else -1, starts[at]
         return [t[0] for t in tiles]
 
     def encode_chunk(self, chunk: bytes) -> bytes:
         """Ids of text without ASCII spaces, as little-endian 32-bit integers."""
-        ids: list[int] = []
-        for part in self.added_pattern.split(chunk.decode("utf-8", "replace")):
-            if part in self.added:
-                ids.append(self.added[part])
-                continue
+        text = chunk.decode("utf-8", "replace")
+        if self.added_pattern.search(text) is None:
+            return self.encode_plain(text)
+        ids: list[bytes] = []
+        for part in self.added_pattern.split(text):
+            ids.append(self.added[part].to_bytes(4, "little") if part in self.added else self.encode_plain(part))
+        return b"".join(ids)
+
+    def encode_plain(self, part: str) -> bytes:
+        if not part.isascii():
             part = unicodedata.normalize("NFC", part)
-            part = part.lower() if "Σ" not in part else "".join(c.lower() for c in part)
-            for word in self.words.findall(part):
-                found = self.spelt.get(word)
-                if found is None:
-                    found = self.encode_word("".join([self.symbols[b] for b in word.encode()]))
-                    if len(self.spelt) >= CACHE_WORDS:
-                        self.spelt.clear()
-                    self.spelt[word] = found
-                ids += found
-        return np.array(ids, "<i4").tobytes()
+        part = part.lower() if "Σ" not in part else "".join(c.lower() for c in part)
+        out = []
+        for word in self.words.findall(part):
+            found = self.spelt[word]
+            if found is None:
+                found = array("i", self.encode_word("".join([self.symbols[b] for b in word.encode()]))).tobytes()
+                if len(word) <= CACHE_BYTES:
+                    self.spelt.put(word, found)
+            out.append(found)
+        return b"".join(out) if len(out) != 1 else out[0]
 
     def encode(self, text: bytes) -> np.ndarray:
         known, out = self.known, []
         for chunk in text.split():  # at ASCII spaces, which no word holds
-            ids = known.get(chunk)
+            ids = known[chunk]
             if ids is None:
                 ids = self.encode_chunk(chunk)
-                if len(known) >= CACHE_WORDS:
-                    known.clear()
-                if len(chunk) < 200:
-                    known[chunk] = ids
+                if len(chunk) <= CACHE_BYTES:
+                    known.put(chunk, ids)
             out.append(ids)
         return np.frombuffer(b"".join(out), "<i4")
 
