@@ -225,7 +225,7 @@ def identify(texts: list[str], model: Model, switch: float = SWITCH):
         letters = np.zeros((len(part), max(1, len(model.langs))))
         np.add.at(letters, (text, label), end - start)
         head = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (label[1:] != label[:-1])])[: len(text)])
-        tail = np.append(head[1:], len(text)) - 1
+        tail = np.append(head[1:], len(text))[: len(head)] - 1
         spans: list[list] = [[] for _ in part]
         for h, t in zip(head.tolist(), tail.tolist(), strict=True):
             spans[text[h]].append((model.langs[label[h]] if model.langs else UNKNOWN, int(start[h]), int(end[t])))
