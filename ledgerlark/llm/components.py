@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import cut, tasks_for
+from ledgerlark.llm.common import cut, look_up, tasks_for
+
+#: With a node of more neighbours than this, joins are dealt by node and a salt of the neighbour.
+HOT_NODE = 1000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,8 +16,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates two rounds until only stars are left: every node hands its larger neighbours to its smallest
     one, then its smaller ones (Kiveris et al. 2014, large star and small star). Each round is a min-aggregation and
-    a join on the node, so no neighbourhood is gathered in one task; only the number of edges and whether more is to do
-    go to the driver.
+    a join on the node, salted where a node has many neighbours, so no neighbourhood is gathered in one task; only the
+    number of edges, the largest degree and whether more is to do go to the driver.
 
     Null ends, loops and repeated edges add nothing; nodes that only have loops are not returned.
     """
@@ -23,18 +26,25 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # A forest of stars is done: each node has one edge to a smaller one, or is what others lead to.
         ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down"))
-        ends = ends.union(edges.select("v", F.lit(0), F.lit(1))).groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-        found = ends.agg(F.sum("up").alias("edges"), F.max((F.col("up") + F.col("down") > 1).cast("int")).alias("more")).first()
+        ends = ends.union(edges.select("v", F.lit(0), F.lit(1))).groupBy("x").agg(
+            F.sum("up").alias("up"), F.max("down").alias("down"), F.count("*").alias("degree")
+        )
+        found = ends.agg(
+            F.sum("up").alias("edges"), F.max((F.col("up") + F.col("down") > 1).cast("int")).alias("more"), F.max("degree").alias("degree")
+        ).first()
         tasks = tasks_for(found["edges"] or 0)
         edges = edges.coalesce(tasks)
         if not found["more"]:
             break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks)
-        large = both.join(least, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        hot = found["degree"] > HOT_NODE
+        joined = look_up(both, least, "u", "v") if hot else both.join(least, "u")
+        large = joined.filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = cut(large.distinct()).coalesce(tasks)
         least = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
+        joined = look_up(large, least, "u", "v") if hot else large.join(least, "u")
+        small = joined.select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
         edges = cut(small.select("e.u", F.col("e.m").alias("v")).filter("u <> v").distinct())
     own = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(own)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import TASK_ROWS, cut, partitions
+from ledgerlark.llm.common import TASK_ROWS, cut, look_up, partitions
 from ledgerlark.llm.components import components
 from ledgerlark.llm.shingles import SHINGLE_WORDS, Slice, mix, overlap, shingle_slice, slices
 
@@ -20,6 +20,8 @@ from ledgerlark.llm.shingles import SHINGLE_WORDS, Slice, mix, overlap, shingle_
 NUMERATOR, DENOMINATOR = 75, 100
 #: Signatures of up to LIGHT different sets give all their pairs; larger groups are compared with HUBS sets first.
 LIGHT, HUBS = 32, 1
+#: Pairs that are compared at a time.
+PAIR_ROWS = 1000
 #: Sets that one task takes.
 SET_ROWS = 4000
 #: The second level's segments have at least so many elements.
@@ -287,26 +289,40 @@ def _texts(batch: pa.RecordBatch):
         yield ids[a:b], texts[a:b]
 
 
+def _repeated(parts: list[np.ndarray]) -> list[np.ndarray]:
+    """For arrays of numbers, which of theirs are in all of them together more than once."""
+    if not parts:
+        return []
+    joined = np.concatenate(parts)
+    order = np.argsort(joined)
+    same = joined[order[1:]] == joined[order[:-1]]
+    again = np.zeros(len(joined), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    return np.split(again, np.cumsum([len(p) for p in parts])[:-1])
+
+
 def meet(entered: DataFrame, light: int, hubs: int) -> DataFrame:
     """Merged findings of all buckets of ``entered`` (ENTRY). Null classes are the ids, null quotas 1, null roles 0, and
     without references entry i has id i."""
     buckets = partitions(entered)
 
     def match(batches):
-        held = {c: [] for c in ("sig", "id", "cls", "quota", "role")}
+        sigs, rest = [], []
         for batch in batches:
             for row in batch.to_pylist():
-                raw = np.frombuffer(row["sig"], np.uint8).reshape(-1, SIG_BYTES)
-                sig = np.zeros((len(raw), 8), np.uint8)
-                sig[:, :SIG_BYTES] = raw
-                n = len(row["id"]) // 8
-                ref = np.arange(n) if row["ref"] is None else of_planes(row["ref"], "<u4")
-                held["sig"].append(sig.view("<u8").ravel())
-                ids = of_planes(row["id"], "<i8")
-                held["id"].append(ids[ref])
-                held["cls"].append((ids.view("<u8") if row["cls"] is None else np.frombuffer(row["cls"], "<u8"))[ref])
-                held["quota"].append(np.ones(n, np.int32) if row["quota"] is None else of_planes(row["quota"], "<i4")[ref])
-                held["role"].append(np.zeros(n, np.uint8) if row["role"] is None else np.frombuffer(row["role"], "u1")[ref])
+                sigs.append(np.frombuffer(row.pop("sig"), "<u4"))
+                rest.append(row)
+        held = {c: [] for c in ("sig", "id", "cls", "quota", "role")}
+        # Most signatures occur once, so only those of others are unpacked.
+        for sig, again, row in zip(sigs, _repeated(sigs), rest, strict=True):
+            n = len(row["id"]) // 8
+            ref = np.flatnonzero(again) if row["ref"] is None else of_planes(row["ref"], "<u4")[again]
+            held["sig"].append(sig[again])
+            ids = of_planes(row["id"], "<i8")
+            held["id"].append(ids[ref])
+            held["cls"].append((ids.view("<u8") if row["cls"] is None else np.frombuffer(row["cls"], "<u8"))[ref])
+            held["quota"].append((np.ones(n, np.int32) if row["quota"] is None else of_planes(row["quota"], "<i4"))[ref])
+            held["role"].append((np.zeros(n, np.uint8) if row["role"] is None else np.frombuffer(row["role"], "u1"))[ref])
         if held["sig"]:
             rec = group_pairs(*(np.concatenate(held[c]) for c in ("sig", "id", "cls", "quota", "role")), light, hubs)
             target = (mix(rec["a"].astype(np.uint64) ^ mix(rec["b"].astype(np.uint64))) % np.uint64(buckets)).astype(np.int64)
@@ -380,7 +396,7 @@ def is_similar(p: np.ndarray, q: np.ndarray, t: Threshold) -> bool:
     return common * t.den >= (len(p) + len(q) - common) * t.num
 
 
-def verify(pairs: DataFrame, sets: DataFrame, to_set, t: Threshold) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, to_sets, t: Threshold) -> DataFrame:
     """The (a, b) of ``pairs`` whose sets are similar, compared in full."""
     left = sets.select(F.col("id").alias("a"), F.col("packed").alias("pa"))
     right = sets.select(F.col("id").alias("b"), F.col("packed").alias("pb"))
@@ -388,20 +404,24 @@ def verify(pairs: DataFrame, sets: DataFrame, to_set, t: Threshold) -> DataFrame
 
     def check(batches):
         for batch in batches:
-            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            keep = pa.array([is_similar(to_set(p), to_set(q), t) for p, q in pairs], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+            for start in range(0, batch.num_rows, PAIR_ROWS):
+                part = batch.slice(start, PAIR_ROWS)
+                one, two = part.column(2).to_pylist(), part.column(3).to_pylist()
+                every = list({*one, *two})
+                sets = dict(zip(every, to_sets(every), strict=True))
+                keep = pa.array([is_similar(sets[p], sets[q], t) for p, q in zip(one, two, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
 
     return both.mapInArrow(check, "a bigint, b bigint")
 
 
-def _block_links(to_set, t: Threshold):
+def _block_links(to_sets, t: Threshold):
     """Links of one block's queries to its sets, as many as join its components."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         ids, labels = rows["id"].to_numpy(), rows["label"].to_numpy()
         asks, holds, hidden = rows["asks"].to_numpy(), rows["holds"].to_numpy(), rows["hidden"].to_numpy()
-        sets = [to_set(p) for p in rows["packed"]]
+        sets = to_sets(list(rows["packed"]))
         sizes = np.array([len(x) for x in sets])
         held = np.flatnonzero(holds)
         owner = np.repeat(held, sizes[held])
@@ -452,10 +472,10 @@ def _findings(found: DataFrame):
     return kept.select("a", "b", "n"), stars, heavy.filter("quota <= h").select(F.col("a").alias("x")).distinct()
 
 
-def settle(entered: DataFrame, load, to_set, t: Threshold, *, deeper=None, light: int = LIGHT, hubs: int = HUBS) -> DataFrame:
+def settle(entered: DataFrame, load, to_sets, t: Threshold, *, deeper=None, light: int = LIGHT, hubs: int = HUBS) -> DataFrame:
     """(node, component) of all nodes with links, from the entries of all nodes.
 
-    ``load`` gives (id, packed) for wanted ids, ``to_set`` the ascending set of a packed content, ``deeper`` (if any)
+    ``load`` gives (id, packed) for wanted ids, ``to_sets`` the ascending sets of packed contents, ``deeper`` (if any)
     entries with longer segments, as far as they may meet those of given ids.
 
     Pairs of groups of up to ``light`` sets are kept if they share enough signatures. Where larger groups could hide all that a
@@ -477,29 +497,29 @@ def settle(entered: DataFrame, load, to_set, t: Threshold, *, deeper=None, light
     # Stars lead to the first set of what large groups connect; those of one component of stars are a cluster.
     clusters = components(stars.filter("a <> b"))
     kept = clusters.join(hidden, F.col("node") == F.col("x"), "left_semi").select("component").distinct()
-    clusters = clusters.join(kept, "component", "left_semi")
+    clusters = look_up(clusters, kept, "component", "node")
     ties = cut(clusters.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")), TASK_ROWS)
     todo = cut(pairs.union(ties.withColumn("n", F.lit(FREE).cast("bigint"))).groupBy("a", "b").agg(F.max("n").alias("n")), TASK_ROWS)
     sets = cut(load(todo.select(F.col("a").alias("id")).union(todo.select("b")).distinct()), SET_ROWS)
     # Each set's likeliest pair first; of the others only those that could still join two components.
     likely = Window.partitionBy("b").orderBy(F.desc("n"), "a")
     ranked = todo.withColumn("rank", F.row_number().over(likely))
-    links = cut(verify(ranked.filter("rank = 1 OR n = " + str(FREE)), sets, to_set, t), TASK_ROWS)
+    links = cut(verify(ranked.filter("rank = 1 OR n = " + str(FREE)), sets, to_sets, t), TASK_ROWS)
     rest = _labelled(ranked.filter("rank > 1 AND n < " + str(FREE)), components(links)).filter("la <> lb")
-    links = cut(links.union(verify(rest, sets, to_set, t)), TASK_ROWS)
+    links = cut(links.union(verify(rest, sets, to_sets, t)), TASK_ROWS)
     labels = components(links)
     split = _labelled(ties, labels).filter("la <> lb").select(F.col("b").alias("node"))
     if split.isEmpty():
         return labels
     clusters = clusters.select("node", F.col("component").alias("cluster"))
     broken = clusters.join(split, "node", "left_semi").select("cluster").distinct()
-    members = clusters.join(broken, "cluster", "left_semi").join(labels, "node", "left")
+    members = look_up(clusters, broken, "cluster", "node").join(labels, "node", "left")
     members = members.join(hidden.select(F.col("x").alias("node"), F.lit(True).alias("hidden")), "node", "left")
     members = cut(members.select("cluster", F.col("node").alias("id"), F.coalesce("component", "node").alias("label"), F.coalesce("hidden", F.lit(False)).alias("hidden")), TASK_ROWS)
     counts = members.groupBy("cluster", "label").agg(F.count("*").alias("n"), F.sum(F.col("hidden").cast("bigint")).alias("h"))
     counts = counts.groupBy("cluster").agg(F.sum("n").alias("sets"), F.sum("h").alias("hiding"), F.max(F.struct("n", "label")).alias("top"))
     asks = F.when(F.col("hiding") < F.col("sets") - F.col("top.n"), F.col("hidden")).otherwise(F.col("label") != F.col("top.label"))
-    rows = members.join(counts, "cluster").withColumn("asks", asks)
+    rows = look_up(members, counts, "cluster", "id").withColumn("asks", asks)
     queries = F.least(F.col("hiding"), F.col("sets") - F.col("top.n"))
     rows = rows.withColumns({
         "nm": F.ceil(F.col("sets") / BLOCK_SETS).cast("int"), "nq": F.greatest(F.lit(1), F.ceil(queries / BLOCK_QUERIES).cast("int")),
@@ -509,7 +529,7 @@ def settle(entered: DataFrame, load, to_set, t: Threshold, *, deeper=None, light
         F.pmod(spread, "nm").cast("int").alias("m"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"))
     asking = rows.filter("asks").select("cluster", "id", "label", "hidden", "packed", F.lit(True).alias("asks"), F.lit(False).alias("holds"),
         F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("m"), F.pmod(spread, "nq").cast("int").alias("q"))
-    more = held.union(asking).groupBy("cluster", "m", "q").applyInPandas(_block_links(to_set, t), "a bigint, b bigint")
+    more = held.union(asking).groupBy("cluster", "m", "q").applyInPandas(_block_links(to_sets, t), "a bigint, b bigint")
     return components(links.union(more))
 
 
@@ -520,8 +540,8 @@ def only_ids(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.withColumn("cell", cell).join(cells, "cell", "left_semi").drop("cell").join(wanted, "id", "left_semi")
 
 
-def unpack(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, "<u8")
+def unpack(packed: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(p, "<u8") for p in packed]
 
 
 def similar_components(
@@ -597,9 +617,11 @@ def similar_components(
 
 def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose identifier is the smallest of its component, and those without an identifier."""
-    found = similar_components(docs, id_col=id_col, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep"))
-    kept = docs.join(found, F.col(id_col).cast("bigint") == F.col("_keep"), "left_semi")
-    return kept.union(docs.filter(F.col(id_col).isNull()))
+    found = similar_components(docs, id_col=id_col, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("id"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # so that no name clashes
+    rows = rows.withColumn("id", F.col("row")[id_col].cast("bigint"))
+    kept = rows.join(found, "id", "left_semi").select("row").union(rows.filter("id IS NULL").select("row"))
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def _to_sets(width: int):
