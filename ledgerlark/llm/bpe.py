@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 #: Entries of the newer half of each cache of a worker. At most twice as many are kept, each of CACHE_BYTES at most, so
-#: the three caches of a worker take some 70 MB whatever the input.
-CACHE_WORDS, CACHE_BYTES = 100_000, 100
+#: the three caches of a worker take some 40 MB whatever the input.
+CACHE_WORDS, CACHE_BYTES = 60_000, 100
+#: Entries that a worker keeps between tasks, as it may work on other operators then.
+IDLE_WORDS = 10_000
 #: Rows that are held as Python objects at a time.
 SLICE_ROWS = 256
 END = ""  # a word's end; no byte symbol is this character
@@ -47,6 +49,15 @@ class Recent(dict):
             self.clear()
         self[key] = value
 
+    def shrink(self) -> None:
+        """Leaves the first entries only, which common words have."""
+        self.older = {}
+        for key in list(self)[IDLE_WORDS:]:
+            del self[key]
+        rest = dict(self)
+        self.clear()  # a dict's own table shrinks only so
+        self.update(rest)
+
 
 class WordBpe:
     """A tokenizer file with word ends: NFC, lower case, words by pattern, byte symbols, merges by rank.
@@ -228,5 +239,7 @@ def encode_documents(docs: DataFrame, path: str, *, text_col: str = "text", ids_
                 lists = pa.ListArray.from_arrays(sizes, pa.array(np.concatenate(ids) if ids else [], pa.int32()))
                 decoded = pa.array([bpe.decode(x) for x in ids], pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, decoded], [*part.schema.names, ids_col, decoded_col])
+        for cache in (bpe.pairs, bpe.known, bpe.spelt):
+            cache.shrink()
 
     return docs.mapInArrow(run, schema)

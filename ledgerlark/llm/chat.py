@@ -37,8 +37,10 @@ def leaf_paths(messages: DataFrame, *, top: int | None = None) -> DataFrame:
     kept pointers, again in log2(d) joins, so what is made is the length of the chosen paths.
 
     A parent that doesn't exist or is null makes a root. Null scores count as 0. Messages on a cycle reach no root and are
-    on no path. Nodes are unique within a tree. An empty table gives no rows.
+    on no path, nor are messages whose node is null. A null tree is a tree like others. Nodes are unique within a tree. An
+    empty table gives no rows.
     """
+    messages = _in_trees(messages)
     known = messages.select("tree", F.col("node").alias("parent")).distinct().withColumn("_known", F.lit(True))
     rows = messages.select(
         "tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total")
@@ -80,7 +82,12 @@ def leaf_paths(messages: DataFrame, *, top: int | None = None) -> DataFrame:
         ))
         found = found.join(level, ["tree", "node"], "left").select("tree", "leaf", "rank", F.explode(both).alias("at"))
         found = found.select("tree", "leaf", "rank", "at.node", "at.pos")
-    return found
+    return found.withColumn("tree", F.col("tree.tree"))
+
+
+def _in_trees(rows: DataFrame) -> DataFrame:
+    """``rows`` with tree as a struct, which equals another one also where both hold null."""
+    return rows.withColumn("tree", F.struct("tree"))
 
 
 def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
@@ -88,7 +95,7 @@ def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
 
     Null texts and null roles are empty. One row holds one conversation, so the longest one has to fit a task.
     """
-    turns = paths.join(messages.select("tree", "node", "role", "text"), ["tree", "node"])
+    turns = _in_trees(paths).join(_in_trees(messages.select("tree", "node", "role", "text")), ["tree", "node"])
     role, text = F.coalesce("role", F.lit("")), escape(F.coalesce("text", F.lit("")))
     opening = F.concat(F.lit(ROLE_OPEN), escape(role), F.lit(ROLE_CLOSE))
     closing = F.lit(OTHER_CLOSE)
@@ -112,7 +119,7 @@ def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
 
     spans = F.aggregate("turns", F.struct(F.lit(len(BEGIN)).cast("bigint").alias("at"), none.alias("spans")), step)
     return grouped.select(
-        "tree", "leaf", "rank", F.size("turns").cast("bigint").alias("n_turns"),
+        "tree.tree", "leaf", "rank", F.size("turns").cast("bigint").alias("n_turns"),
         F.concat(F.lit(BEGIN), whole).alias("formatted"), spans["spans"].alias("loss_spans"),
     )
 

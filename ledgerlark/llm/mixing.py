@@ -113,11 +113,13 @@ def repeat_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")
     ).agg(F.max(F.col("epochs") + part).cast("int").alias("_times"))
     keys = keys.filter("_times > 0")
-    rows = docs.withColumn("_words", F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("bigint"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))  # so that no name clashes
+    row = F.col("_row")
+    rows = rows.withColumn("_words", F.regexp_count(F.coalesce(row[text_col], F.lit("")), F.lit(WORD)).cast("bigint"))
     same = (
-        F.col(id_col).cast("bigint").eqNullSafe(F.col("_id"))
-        & F.col(source_col).eqNullSafe(F.col("_source"))
+        row[id_col].cast("bigint").eqNullSafe(F.col("_id"))
+        & row[source_col].eqNullSafe(F.col("_source"))
         & (F.col("_words") == F.col("_size"))
     )
-    found = rows.join(keys, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return found.select(*[found[f"`{c}`"] for c in docs.columns])
+    found = rows.join(keys, same).select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return found.select(*[row[c].alias(c) for c in docs.columns])

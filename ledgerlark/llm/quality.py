@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import SPACES, WORD, text_or_empty
+from ledgerlark.llm.common import SPACES, WORD
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -94,12 +94,13 @@ def judge(
     fewer than ``min_words`` words or more than ``max_repeat_percent`` of them in repeated three-word windows.
 
     A null or empty text has no words, fails, and its ``cleaned`` is empty. Every row gets its own verdict, so
-    ties and repeated rows need no rule. Nothing is shuffled; one row is judged within one task.
+    ties and repeated rows need no rule. Columns may have any names; one named ``quality`` is replaced. Nothing is shuffled;
+    one row is judged within one task.
     """
     n_cols = docs.columns
     text = F.col("_text")
-    df = docs.withColumn("_text", text_or_empty(text_col)).withColumn("_doc", F.struct(*[F.col(f"`{c}`") for c in n_cols]))
-    df = df.select("_doc", "_text", _words(text).alias("words"))
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in n_cols]).alias("_doc"))  # so that no name clashes
+    df = df.withColumn("_text", F.coalesce(F.col("_doc")[text_col], F.lit(""))).withColumn("words", _words(text))
     df = with_repeats(df).drop("words")
     df = df.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(WORD)))
     df = df.withColumn("_good", F.filter(F.split("_text", "\n"), lambda x: ~x.rlike(WORD) | ~line_fails(x)))
@@ -121,4 +122,4 @@ def judge(
         "kept_chars", F.col("_cleaned").alias("cleaned"),
     )
     # A row generator, so that later filters on the verdict don't evaluate the arrays again.
-    return df.select("_doc", F.explode(F.array(quality)).alias("quality")).select(*[F.col(f"_doc.`{c}`") for c in n_cols if c != "quality"], "quality")
+    return df.select("_doc", F.explode(F.array(quality)).alias("quality")).select(*[F.col("_doc")[c].alias(c) for c in n_cols if c != "quality"], "quality")

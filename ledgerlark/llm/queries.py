@@ -133,7 +133,7 @@ def op8_fuzzy_lines(spark, sf_dir):
 @register("op9_repeated_substrings")
 def op9_repeated_substrings(spark, sf_dir):
     done = substrings.remove_repeats(documents(spark, sf_dir))
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("has_repeats"))
 
 
 @register("op10_backtracking_bpe")
