@@ -179,3 +179,11 @@ def test_stages_of_nothing(spark):
 def test_pipeline_runs_whole(spark):
     assert corpus_pipeline.run(spark, SF).count() > 50
     assert exact_dedup.SALTS and setjoin.LIGHT
+
+
+def test_chat_of_a_null_conversation(spark):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (3, 0, "user", None), (None, 2, None, "c")]
+    messages = chat.conversation_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    done = chat.format_paths(chat.leaf_paths(messages), messages)
+    got = {r.tree: [(t.role, t.text) for t in r.turns] for r in done.withColumn("turns", chat.read_back(F.col("formatted"))).collect()}
+    assert got == {None: [("user", "a"), ("assistant", "b"), ("", "c")], 3: [("user", "")]}

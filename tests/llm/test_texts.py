@@ -3,6 +3,7 @@ import json
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,3 +218,53 @@ def test_language_accuracy_on_the_tables(spark):
     got = queries.QUERIES["op3_language_spans"](spark, SF).join(docs, "doc_id").filter("held_out")
     right = got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
     assert right > 0.97
+
+
+# -- names, nulls and sizes
+
+
+def test_clashing_names_pass_through(spark):
+    names = ["_text", "_doc", "words", "row", "k", "range", "named", "key", "_own", "_keep", "_words", "_copy", "_times", "_row", "id", "a.b"]
+    rows = [(i, t, "en", "s", *(f"{n}{i}" for n in names)) for i, t in enumerate([prose(random.Random(5), 80), "x", None, prose(random.Random(6), 90)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    from ledgerlark.llm import mixing, setjoin
+
+    for out in (exact_dedup.drop_exact_copies(docs), setjoin.drop_similar(docs), mixing.repeat_rows(docs), quality.judge(docs).drop("quality")):
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
+
+
+@pytest.mark.parametrize("sampled", [1, 3, 40])
+def test_copies_that_splitters_cut(spark, sampled):
+    texts = ["hot  text"] * 150 + [f"hot text {i % 40}" for i in range(60)] + ["hot\ttext"] * 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    ids = {}
+    for i, t in enumerate(texts):
+        ids.setdefault(norm(t), []).append(i)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs, sampled=sampled).collect()}
+    assert got == {i: (min(v), len(v), i == min(v)) for v in ids.values() for i in v}
+
+
+def test_copies_are_found_without_digests(spark, monkeypatch):
+    real = exact_dedup.F.sha2
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda column, bits: real(F.lit("same"), bits))
+    docs = spark.createDataFrame(list(enumerate(["a  b", "c", "a b", "c", "d", "a b"])), "doc_id long, text string")
+    got = {r.doc_id: r.keep_id for r in exact_dedup.exact_groups(docs).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 1, 4: 4, 5: 0}
+
+
+def test_bpe_of_one_very_long_word(reference):
+    own = bpe.load(TOKENIZER)
+    for word in ("ab" * 30_000, "é日" * 5_000, "x" * 50_000):
+        want = reference.encode(word, add_special_tokens=False).ids
+        assert own.encode(word.encode()).tolist() == want and own.decode(np.array(want)).decode() == reference.decode(want, skip_special_tokens=False)
+
+
+def test_language_of_repeated_and_very_long_rows(spark):
+    english, french = "the cat is on the table with his friend ", "le chat est sur la table avec son ami "
+    docs = spark.createDataFrame([(i, "en", english * 4) for i in range(20)] + [(20 + i, "fr", french * 4) for i in range(20)], "doc_id long, lang string, text string")
+    model = language.fit(docs)
+    asked = spark.createDataFrame([(1, english * 4), (1, english * 4), (2, french * 20_000), (3, ""), (4, None)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.lang_pred) for r in language.label_documents(asked, model).collect())
+    assert got == [(1, "en"), (1, "en"), (2, "fr"), (3, "und"), (4, "und")]
