@@ -147,9 +147,12 @@ def safe_cell(text: Column) -> Column:
 
 
 def parse_pairs(text: Column) -> Column:
-    """``k=v`` pairs separated by semicolons or new lines as a map; null where a key comes twice or has no value."""
-    parts = F.filter(F.transform(F.split(text, "[;\n]"), F.trim), lambda p: p != "")
-    keys = F.transform(parts, lambda p: F.trim(F.split(p, "=", 2)[0]))
-    good = F.forall(parts, lambda p: p.contains("=")) & (F.size(F.array_distinct(keys)) == F.size(keys))
-    values = F.transform(parts, lambda p: F.trim(F.substring_index(F.concat(p, F.lit("")), "=", -1)))
+    """``k=v`` pairs separated by semicolons or new lines as a map; null where a key comes twice or a part has no separator.
+
+    A value is all that follows the first ``=`` or colon, further ones included; separators may be full-width.
+    """
+    parts = F.filter(F.transform(F.split(text, "[;；\n]"), F.trim), lambda p: p != "")
+    keys = F.transform(parts, lambda p: F.trim(F.split(p, "[=:：]", 2)[0]))
+    good = F.forall(parts, lambda p: p.rlike("[=:：]")) & (F.size(F.array_distinct(keys)) == F.size(keys))
+    values = F.transform(parts, lambda p: F.trim(F.split(p, "[=:：]", 2)[1]))
     return F.when(good, F.map_from_arrays(keys, values))

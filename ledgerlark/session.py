@@ -31,6 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's checkpoint folder; a local one only where none is set, as in tests."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    """The cluster's checkpoint folder; a local one only in local mode where none is set, as in tests."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all nodes share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
