@@ -1,11 +1,12 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerlark.llm import bpe, chat, exact_dedup, mixing, quality, setjoin, sharding
+from ledgerlark.llm import bpe, chat, exact_dedup, mixing, quality, queries, setjoin, sharding
 from tests.helpers import HAVE_DATA, SF
 from tests.llm.fixtures import SCHEMA, documents
 from tests.llm.test_sets import brute_components, shingle_set
@@ -187,3 +188,13 @@ def test_chat_of_a_null_conversation(spark):
     done = chat.format_paths(chat.leaf_paths(messages), messages)
     got = {r.tree: [(t.role, t.text) for t in r.turns] for r in done.withColumn("turns", chat.read_back(F.col("formatted"))).collect()}
     assert got == {None: [("user", "a"), ("assistant", "b"), ("", "c")], 3: [("user", "")]}
+
+
+@pytest.mark.skipif(not HAVE_DATA, reason="no driver tables")
+def test_op5_on_the_tables_by_brute_force(spark):
+    texts = {r.doc_id: (r.text or "").encode() for r in queries.documents(spark, SF).collect()}
+    rows = queries.QUERIES["op5_hilbert_shards"](spark, SF).collect()
+    assert {r.doc_id: (r.size, r.text_crc32) for r in rows} == {k: (len(t) + 1, zlib.crc32(t)) for k, t in texts.items()}
+    place = sorted(rows, key=lambda r: (r.shard, r.slot))
+    assert [r.hilbert for r in place] == sorted(r.hilbert for r in rows)
+    assert [r.shard for r in place] == sorted(i * 8 // len(rows) for i in range(len(rows))) and len(rows) % 8 == 0
