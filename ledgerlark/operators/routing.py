@@ -68,16 +68,21 @@ def canonical(people: DataFrame, *, rounds: int = 40) -> DataFrame:
     return state.select("person", "root")
 
 
-def closure(seeds: DataFrame, edges: DataFrame, *, rounds: int = 100) -> DataFrame:
-    """Nodes (node) that ``edges`` (src, dst) lead to from ``seeds``, repeated until nothing is new."""
-    found = frontier = seeds.select("node").distinct().checkpoint()
-    for _ in range(rounds):
+def closure(seeds: DataFrame, edges: DataFrame, *, cut_every: int = 16) -> DataFrame:
+    """Nodes (node) that ``edges`` (src, dst) lead to from ``seeds``, repeated until nothing is new. Null nodes and ends are left out.
+
+    Every round adds a frame to what is found; every ``cut_every`` rounds that is written as one.
+    """
+    edges = edges.filter("src IS NOT NULL AND dst IS NOT NULL")
+    found = frontier = seeds.select("node").filter("node IS NOT NULL").distinct().checkpoint()
+    rounds = 0
+    while not frontier.isEmpty():
         new = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         frontier = new.join(found, "node", "left_anti").checkpoint()
-        if frontier.isEmpty():
-            return found
-        found = found.union(frontier)
-    raise ValueError("the closure is deeper than its rounds")
+        found, rounds = found.union(frontier), rounds + 1
+        if rounds % cut_every == 0:
+            found = found.checkpoint()
+    return found
 
 
 def with_priority(cached: DataFrame, recovered: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlark.functions import evidence as ev
 from ledgerlark.functions import text as fn
 from ledgerlark.operators import evidence as joins
-from ledgerlark.operators import pairing
+from ledgerlark.operators import pairing, routing
 
 
 def values(spark, function, texts, *more):
@@ -112,3 +112,9 @@ def test_a_pool_of_equal_amounts_is_over_its_limit_before_pairs_are_made(spark):
     rows += [(2, 0, "invoice", 300, "p", "F", 0), (2, 1, "payment", 100, "p", "F", 1), (2, 2, "payment", 200, "p", "F", 2)]
     material = spark.createDataFrame(rows, "pool int, rn int, role string, cents long, person string, blocked string, number int")
     assert [(r.pool, r.voucher_ids, r.payment_ids) for r in pairing.balanced_candidates(material).collect()] == [(2, [0], [1, 2])]
+
+
+def test_closure_of_a_chain_with_a_loop_and_nulls(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(9, 0), (3, None), (None, 50), (60, 61)], "src int, dst int")
+    seeds = spark.createDataFrame([(2,), (2,), (None,)], "node int")
+    assert sorted(r.node for r in routing.closure(seeds, edges, cut_every=3).collect()) == list(range(10))
