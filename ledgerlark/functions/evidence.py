@@ -387,3 +387,22 @@ def file_kind(content: Column) -> Column:
     kind = F.when(head.startswith("255044462D"), ".pdf").when(head.startswith("89504E470D0A1A0A"), ".png").when(head.startswith("FFD8FF"), ".jpg")
     kind = kind.when(head.rlike("^52494646.{8}57454250"), ".webp")
     return F.when((F.octet_length(content) > 0) & (F.octet_length(content) <= MAX_FILE), kind)
+
+
+def match_reasons(order: Column, merchant: Column, amount: Column, text: Column) -> Column:
+    """Why a text may be about an expense, in this order: ``order``, ``merchant``, ``amount``; an empty array if nothing speaks for it.
+
+    Spaces of the text don't count. The order number and the amount mustn't be part of a longer number, a merchant has three characters
+    or more. Null or empty values are no reason, and a null text gives none.
+    """
+    blank = r"(?U)[\s\x1C-\x1F]+"
+    quoted = lambda c: F.concat(F.lit("\\Q"), F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    flat = F.regexp_replace(F.coalesce(text, F.lit("")), blank, "")
+    number = F.regexp_replace(order, rf"^{blank}|{blank}$", "")
+    name = F.regexp_replace(merchant, blank, "")
+    digit = r"\p{Nd}"
+    return F.array_compact(F.array(
+        F.when((number != "") & F.regexp_like(flat, F.concat(F.lit(f"(?<!{digit})"), quoted(number), F.lit(f"(?!{digit})"))), "order"),
+        F.when((F.char_length(name) >= 3) & F.contains(flat, name), "merchant"),
+        F.when((amount != "") & F.regexp_like(flat, F.concat(F.lit(f"(?<![{digit}.])"), quoted(amount), F.lit(f"(?!{digit})"))), "amount"),
+    ))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlark.functions.evidence import match_reasons
+
 
 def ride_pairs(trips: DataFrame, invoices: DataFrame) -> DataFrame:
     """(trip, invoice) that are each other's only match.
@@ -100,3 +102,13 @@ def union_by_identity(first: DataFrame, *others: DataFrame, key: str = "id") ->
         rows = rows.unionByName(other.withColumn("_turn", F.lit(turn)))
     keep = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("_turn").alias("_turn"))
     return rows.join(keep, [key, "_turn"], "left_semi").unionByName(rows.filter(F.col(key).isNull())).select(*first.columns)
+
+
+def search_hits(items: DataFrame, mails: DataFrame, *, key: str = "item") -> DataFrame:
+    """(item, mail, reasons, place) of mails (``key``, mail, text) that say something of the item (``key``, order, merchant, amount) they were
+    found for, best first: those with the order number, then those with more reasons, then by mail. Null keys meet nothing."""
+    reasons = match_reasons(F.col("order"), F.col("merchant"), F.col("amount"), F.col("text"))
+    hits = items.select(key, "order", "merchant", "amount").join(mails.select(key, "mail", "text"), key)
+    hits = hits.select(key, "mail", reasons.alias("reasons")).filter(F.size("reasons") > 0)
+    best = Window.partitionBy(key).orderBy(F.array_contains("reasons", "order").desc(), F.size("reasons").desc(), "mail")
+    return hits.withColumn("place", F.row_number().over(best))

@@ -40,6 +40,28 @@ def all_or_nothing(commands: DataFrame, batch: str, good: str) -> DataFrame:
     return commands.withColumn("_whole", whole).filter("_whole").drop("_whole")
 
 
+def return_to_review(state: DataFrame, commands: DataFrame, *, most: int = 200) -> DataFrame:
+    """``state`` (id, project, stage, ready, version, closed) after batches of returns (batch, id, project, version).
+
+    A batch is applied whole or not at all: it has 1 to ``most`` rows, each with the project and version of an open row that is
+    submitted, reimbursed or a ready draft, and no id occurs twice among all commands. Applied rows become unready drafts with ``review``
+    set and a higher version. Null flags count as false; commands of unknown ids spoil their batch.
+    """
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    asked = commands.select("batch", "id", F.col("project").alias("_project"), F.col("version").alias("_seen"))
+    once = commands.groupBy("id").agg((F.count("*") == 1).alias("_once"))
+    may = F.col("stage").isin("submitted", "reimbursed") | ((F.col("stage") == "draft") & F.col("ready"))
+    good = flag(may & (F.col("project") == F.col("_project")) & (F.col("version") == F.col("_seen")) & F.col("_once")) & ~flag(F.col("closed"))
+    judged = asked.join(once, "id", "left").join(state, "id", "left").select("batch", "id", good.cast("int").alias("good"))
+    whole = judged.groupBy("batch").agg(F.min("good").alias("least"), F.count("*").alias("n")).filter((F.col("least") == 1) & (F.col("n") <= most))
+    applied = judged.join(whole.select("batch"), "batch", "left_semi").select("id", F.lit(True).alias("_applied"))
+    done = flag(F.col("_applied"))
+    return state.join(applied, "id", "left").select(
+        "id", "project", F.when(done, "draft").otherwise(F.col("stage")).alias("stage"), (flag(F.col("ready")) & ~done).alias("ready"),
+        (F.col("version") + done.cast("int")).alias("version"), done.alias("review"),
+    )
+
+
 def merge_attachments(attachments: DataFrame, merges: DataFrame) -> DataFrame:
     """Attachments (item, digest, role) after merging sources into targets (source, target): what the target has already isn't added."""
     moved = attachments.join(merges, F.col("item") == F.col("source")).select(F.col("target").alias("item"), "digest", "role")

@@ -6,23 +6,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def unique_interval(rows: DataFrame, periods: DataFrame, *, at: str, key: list[str], name: str = "project", by_days: int = 31, bound: Column | None = None) -> DataFrame:
-    """``rows`` with the one period (name, start, end or null) that holds ``at``, null if none or several do.
+def unique_interval(rows: DataFrame, periods: DataFrame, *, at: str, key: list[str], name: str = "project", until: str | None = None, by_days: int = 31, bound: Column | None = None) -> DataFrame:
+    """``rows`` with the one period (name, start, end or null) that holds ``at`` (to ``until``, if given), null if none or several do.
 
     Both sides meet in cells of ``by_days`` days, so the interval join is an equality join first; open periods
-    reach to ``bound`` (the last of ``at``, if not given).
+    reach to ``bound`` (the last of ``until`` or ``at``, if not given).
     """
     cell = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01")) / by_days)
-    top = rows.agg(F.max(at).alias("_top"))
+    last = until or at
+    top = rows.agg(F.max(last).alias("_top"))
     ends = periods.crossJoin(F.broadcast(top)).withColumn("_end", F.coalesce("end", "_top" if bound is None else bound))
     ends = ends.filter(F.col("start") <= F.col("_end")).withColumn("_cell", F.explode(F.sequence(cell(F.col("start")), cell(F.col("_end")))))
     hits = rows.withColumn("_cell", cell(F.col(at))).join(ends.select(name, "start", "_end", "_cell"), "_cell")
-    hits = hits.filter((F.col(at) >= F.col("start")) & (F.col(at) <= F.col("_end")))
+    hits = hits.filter((F.col(at) >= F.col("start")) & (F.col(last) <= F.col("_end")))
     found = hits.groupBy(*key).agg(F.min(name).alias("_low"), F.countDistinct(name).alias("matches"))
     route = F.when(F.col("matches") == 1, F.col("_low"))
     return rows.join(found, key, "left").select(*rows.columns, route.alias(name), F.coalesce("matches", F.lit(0)).alias("matches"))
 
 
+def reroute_unassigned(messages: DataFrame, periods: DataFrame, default: str | None = None) -> DataFrame:
+    """(id, project, reason) of messages that can be routed now that projects have changed.
+
+    Only untouched messages (id, status, touched, first, last) with status ``unassigned`` and known days are looked at again. They go to the one
+    project (project, start, end, reimbursed) that isn't reimbursed and holds all their days, else to ``default``, if that exists.
+    Null flags count as false; a project without a start holds no day.
+    """
+    untouched = messages.filter((F.col("status") == "unassigned") & ~F.coalesce("touched", F.lit(False)) & F.col("first").isNotNull())
+    free = periods.filter(~F.coalesce("reimbursed", F.lit(False)))
+    found = unique_interval(untouched, free, at="first", until="last", key=["id"])
+    exists = default is not None and not periods.filter(F.col("project") == default).isEmpty()
+    reason = F.when(F.col("project").isNotNull(), "date").otherwise("default")
+    routed = found.select("id", F.coalesce("project", F.lit(default if exists else None)).alias("project"), reason.alias("reason"))
+    return routed.filter("project IS NOT NULL")
+
+
 def unique_lookup(rows: DataFrame, groups: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``rows`` whose keys stand for exactly one ``value`` in ``groups``, with that value."""
     one = groups.groupBy(*keys).agg(F.min(value).alias(value), F.countDistinct(value).alias("_n")).filter("_n = 1").drop("_n")

@@ -330,3 +330,24 @@ def union_by_identity(spark, sf_dir):
     first = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")).distinct().withColumn("origin", F.lit("orders"))
     second = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("customer").alias("origin"))
     return joins.union_by_identity(first, second)
+
+
+MAIL_NUMBER = "CAST(o_orderkey AS STRING) || '7001'"
+MAIL_MERCHANT = "'Clerk#' || CAST(o_custkey AS STRING)"
+MAIL_TEXTS = {
+    1: f"CASE o_orderkey % 4 WHEN 0 THEN 'no. ' || {MAIL_NUMBER} || ' sent' WHEN 1 THEN 'x1' || {MAIL_NUMBER} WHEN 2 THEN {MAIL_NUMBER} || '5 from ' || replace({MAIL_MERCHANT}, '#', ' # ') ELSE 'paid ' || {WHOLE} || ' yuan' END",
+    2: f"CASE o_orderkey % 4 WHEN 0 THEN 'from ' || {MAIL_MERCHANT} || ' and paid ' || {WHOLE} WHEN 1 THEN 'paid 1' || {WHOLE} || '0, order: ' || {MAIL_NUMBER} || '.' || {MAIL_MERCHANT} ELSE '' END",
+}
+
+
+@register(
+    "mail_hits",
+    """SELECT o_orderkey AS item, mail, reasons, CAST(CASE WHEN o_orderkey % 4 = 0 THEN mail ELSE 1 END AS INTEGER) AS place FROM orders JOIN (VALUES
+        (0, 1, 'order'), (2, 1, 'merchant'), (3, 1, 'amount'), (0, 2, 'merchant,amount'), (1, 2, 'order,merchant')) v(k, mail, reasons) ON o_orderkey % 4 = k""",
+)
+def mail_hits(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders")
+    items = rows.select(F.col("o_orderkey").alias("item"), F.expr(MAIL_NUMBER).alias("order"), F.expr(MAIL_MERCHANT).alias("merchant"), F.expr(WHOLE).alias("amount"))
+    texts = F.array(*[F.struct(F.lit(k).alias("mail"), F.expr(t).alias("text")) for k, t in MAIL_TEXTS.items()])
+    mails = rows.select(F.col("o_orderkey").alias("item"), F.inline(texts))
+    return joins.search_hits(items, mails).withColumn("reasons", F.array_join("reasons", ","))

@@ -205,3 +205,21 @@ def undo_match(spark, sf_dir):
 def upsert_checkpoint(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("at"))
     return ledger.upsert_max(rows.filter("at % 2 = 0"), rows.filter("at % 2 = 1"), ["key"], "at")
+
+
+@register(
+    "review_returns",
+    """WITH s AS (SELECT o_orderkey AS id, o_orderpriority AS project, CASE o_orderstatus WHEN 'F' THEN 'submitted' ELSE 'draft' END AS stage, o_orderstatus = 'P' AS ready,
+        o_custkey % 4 AS version, o_orderstatus <> 'O' AND o_totalprice <= 200000 AS good, o_custkey FROM orders),
+    w AS (SELECT *, bool_and(good) OVER b AND count(*) OVER b <= 200 AS done FROM s WINDOW b AS (PARTITION BY o_custkey, project))
+    SELECT id, project, CASE WHEN done THEN 'draft' ELSE stage END AS stage, ready AND NOT done AS ready, version + CAST(done AS INTEGER) AS version, done AS review FROM w""",
+)
+def review_returns(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders")
+    state = rows.select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("project"), F.when(F.col("o_orderstatus") == "F", "submitted").otherwise("draft").alias("stage"),
+        (F.col("o_orderstatus") == "P").alias("ready"), (F.col("o_custkey") % 4).alias("version"), F.lit(False).alias("closed"),
+    )
+    seen = F.when(F.col("o_totalprice") <= 200000, F.col("o_custkey") % 4).otherwise(-1)
+    commands = rows.select(F.struct("o_custkey", "o_orderpriority").alias("batch"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("project"), seen.alias("version"))
+    return ledger.return_to_review(state, commands)

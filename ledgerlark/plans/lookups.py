@@ -36,6 +36,26 @@ def route_by_period(spark, sf_dir):
     return ops.unique_interval(rows, periods(spark, sf_dir), at="day", key=["id"])
 
 
+@register(
+    "late_routes",
+    f"""WITH {PERIODS}, m AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_custkey % 3 AS INTEGER) AS b
+        FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority <> '1-URGENT'),
+    h AS (SELECT m.id, min(p.project) AS low, count(DISTINCT p.project) AS n FROM m JOIN p ON p.region <> 0 AND a >= p.start0 AND (p.end0 IS NULL OR b <= p.end0) GROUP BY m.id)
+    SELECT m.id, CASE WHEN n = 1 THEN low ELSE d.project END AS project, CASE WHEN n = 1 THEN 'date' ELSE 'default' END AS reason
+        FROM m LEFT JOIN h ON m.id = h.id, (SELECT n_name AS project FROM nation WHERE n_nationkey = 0) d""",
+)
+def late_routes(spark, sf_dir):
+    day = F.col("o_orderdate").cast("date")
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "unassigned").otherwise("assigned").alias("status"),
+        (F.col("o_orderpriority") == "1-URGENT").alias("touched"), day.alias("first"), F.date_add(day, (F.col("o_custkey") % 3).cast("int")).alias("last"),
+    )
+    nations = table(spark, sf_dir, "nation")
+    closed = nations.select(F.col("n_name").alias("project"), (F.col("n_regionkey") == 0).alias("reimbursed"))
+    first = nations.filter("n_nationkey = 0").first()
+    return ops.reroute_unassigned(rows, periods(spark, sf_dir).join(closed, "project"), first["n_name"])
+
+
 @register(
     "phase_overlap",
     f"""WITH {MSG}, ph AS (SELECT n_nationkey AS phase, min0 + n_nationkey * 100000 AS start, min0 + n_nationkey * 100000 + 130000 AS stop FROM nation, (SELECT min(second) AS min0 FROM msg)),

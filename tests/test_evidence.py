@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlark.functions import evidence as ev
 from ledgerlark.functions import text as fn
 from ledgerlark.operators import evidence as joins
-from ledgerlark.operators import pairing, routing
+from ledgerlark.operators import ledger, pairing, routing
 
 
 def values(spark, function, texts, *more):
@@ -118,3 +118,45 @@ def test_closure_of_a_chain_with_a_loop_and_nulls(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(9, 0), (3, None), (None, 50), (60, 61)], "src int, dst int")
     seeds = spark.createDataFrame([(2,), (2,), (None,)], "node int")
     assert sorted(r.node for r in routing.closure(seeds, edges, cut_every=3).collect()) == list(range(10))
+
+
+REASON_CASES = [
+    ("12", " A店 铺", "3.50", "单 1 2号 A店\n铺 3.50元", ["order", "merchant", "amount"]),
+    ("12", "AB", "3.50", "312 AB 13.50 .3.50 3.501", []),
+    ("a\\Eb", None, "", "x a\\Eb x", ["order"]),
+    (" 7 ", "A.C", "3.50", "7 ABC 3450", ["order"]),
+    ("", None, None, "anything", []),
+    ("5", "shop", "1.00", None, []),
+    ("5", "", "1.00", "5\u0665 \u06651.00", []),
+]
+
+
+def test_match_reasons(spark):
+    rows = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(REASON_CASES)], "i int, o string, m string, a string, t string")
+    got = rows.select("i", ev.match_reasons(F.col("o"), F.col("m"), F.col("a"), F.col("t")).alias("r")).orderBy("i").collect()
+    assert [r.r for r in got] == [c[4] for c in REASON_CASES]
+
+
+def test_returns_of_whole_batches_only(spark):
+    state = [(i, "p", stage, ready, 1, closed) for i, stage, ready, closed in (
+        (1, "submitted", False, None), (2, "draft", True, False), (3, "draft", None, False), (4, "reimbursed", None, None), (5, "submitted", None, True), (6, "submitted", None, None))]
+    commands = [("a", 1, "p", 1), ("a", 2, "p", 1), ("b", 3, "p", 1), ("b", 4, "p", 1), ("c", 5, "p", 1), ("d", 6, "p", 1), ("d", 99, "p", 1)]
+    state = spark.createDataFrame(state, "id int, project string, stage string, ready boolean, version int, closed boolean")
+    schema = "batch string, id int, project string, version int"
+    got = ledger.return_to_review(state, spark.createDataFrame(commands, schema)).filter("review").collect()
+    assert sorted((r.id, r.stage, r.ready, r.version) for r in got) == [(1, "draft", False, 2), (2, "draft", False, 2)]
+    twice = spark.createDataFrame([*commands, ("e", 1, "p", 1)], schema)
+    assert ledger.return_to_review(state, twice).filter("review").isEmpty()
+    assert ledger.return_to_review(state, spark.createDataFrame(commands, schema), most=1).filter("review").isEmpty()
+
+
+def test_late_routes(spark):
+    day = datetime.date
+    messages = [(1, "unassigned", None, day(2024, 1, 2), day(2024, 1, 5)), (2, "unassigned", None, day(2024, 1, 2), day(2024, 2, 5)), (3, "dismissed", None, day(2024, 1, 2), day(2024, 1, 2)),
+        (4, "unassigned", True, day(2024, 1, 2), day(2024, 1, 2)), (5, "unassigned", False, None, None), (6, "unassigned", False, day(2024, 3, 1), day(2024, 3, 1))]
+    messages = spark.createDataFrame(messages, "id int, status string, touched boolean, first date, last date")
+    projects = [("a", day(2024, 1, 1), day(2024, 1, 31), False), ("b", day(2024, 1, 1), None, True), ("c", day(2024, 2, 20), None, None), ("d", day(2024, 2, 21), day(2024, 3, 1), None)]
+    projects = spark.createDataFrame(projects, "project string, start date, end date, reimbursed boolean")
+    found = lambda default: sorted(tuple(r) for r in routing.reroute_unassigned(messages, projects, default).collect())
+    assert found(None) == found("gone") == [(1, "a", "date")]
+    assert found("b") == [(1, "a", "date"), (2, "b", "default"), (6, "b", "default")]
