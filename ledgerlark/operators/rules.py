@@ -105,3 +105,65 @@ def product_cover(rows: DataFrame) -> DataFrame:
 
 def newest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).filter("_n = 1").drop("_n")
+
+
+# -- Fixed values: what is printed for a category, if nothing else decides it.
+PRINTED = {
+    "hotel": ("invoice", "payment"), "rail": ("invoice",), "taxi": ("trip", "invoice"), "takeout": ("order", "invoice"), "courier": ("detail", "invoice"),
+    "meals": ("invoice", "order", "purchase"), "printing": ("invoice", "receipt", "purchase", "payment"),
+}
+
+
+def selected_attachments(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``selected``: the ids of the attachments to print, in order, null where the rows' state allows no choice.
+
+    ``attachments`` has (id, name, role, available), with unique ids; ``support`` the ids of supporting originals; flags are acknowledged,
+    complete, trip_required, waybill_required, legacy and alternative. Null flags count as false, null arrays as empty. A legacy row needs exactly one package;
+    supporting originals must be there, be no vouchers and be named once. An unknown category gives null.
+    """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    attached = F.coalesce("attachments", F.expr("cast(array() as array<struct<id: string, name: string, role: string, available: boolean>>)"))
+    placed = F.transform(attached, lambda x, i: F.struct(x["id"].alias("id"), x["name"].alias("name"), x["role"].alias("role"), x["available"].alias("available"), i.alias("at")))
+    present = F.filter(placed, lambda x: F.coalesce(x["available"], F.lit(False)))
+    ids = lambda found: F.transform(found, lambda x: x["id"])
+
+    def pick(*roles, last=()):
+        found = F.filter(present, lambda x: x["role"].isin(*roles))
+        return ids(F.array_sort(F.transform(found, lambda x: F.struct(x["role"].isin(*last).alias("late"), x["name"].alias("name"), x["at"].alias("at"), x["id"].alias("id")))))
+
+    named = F.coalesce("support", F.array().cast("array<string>"))
+    found = F.filter(present, lambda x: F.array_contains(named, x["id"]) & ~x["role"].isin("invoice", "receipt", "payment", "package"))
+    found = F.array_sort(F.transform(found, lambda x: F.struct(x["name"].alias("name"), x["id"].alias("id"))))
+    support = F.when((F.size(F.array_distinct(named)) == F.size(named)) & (F.size(found) == F.size(named)), ids(found))
+    packages = ids(F.filter(present, lambda x: x["role"] == "package"))
+    chosen = (
+        F.when(flag("acknowledged") & ~flag("complete"), ids(present))
+        .when(F.col("basis") == "payment_only", ids(F.filter(present, lambda x: x["role"] == "payment")))
+        .when(flag("trip_required"), pick("trip", "invoice", last=["invoice"]))
+        .when(flag("waybill_required"), pick("detail", "invoice", last=["invoice"]))
+        .when(F.col("basis") == "invoice_payment", F.concat(pick("invoice", "receipt", "payment", last=["payment"]), support))
+        .when(flag("legacy"), F.when(F.size(packages) == 1, packages))
+    )
+    vouchers = ["invoice", "payment"]
+    for category, roles in PRINTED.items():
+        chosen = chosen.when(F.col("category") == category, pick(*roles, last=vouchers))
+    bought = F.when(flag("alternative"), pick("purchase", "payment", last=vouchers)).otherwise(pick("purchase", "invoice", last=vouchers))
+    return rows.withColumn("selected", chosen.when(F.col("category") == "materials", bought))
+
+
+def category_status(items: DataFrame, attempts: DataFrame) -> DataFrame:
+    """(id, status, eligible, pending) of automatic categories.
+
+    ``items`` (id, stage, verified, closed, category, manual, input_key) are left-joined with ``attempts`` (item, status, category,
+    managed, input_key), one per item. Only unverified open drafts without a choice made by hand are eligible, if their category is
+    ``other`` or was set by an attempt; pending ones have no attempt or one of another input. Null flags count as false.
+    """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    tried = attempts.select(F.col("item").alias("id"), F.struct("status", "category", "managed", "input_key").alias("tried"))
+    own = F.col("category")
+    by_attempt = ((F.col("tried.status") == "saved") & (F.col("tried.category") == own)) | (F.col("tried.managed") == own)
+    open_draft = (F.col("stage") == "draft") & ~flag("verified") & ~flag("closed") & ~flag("manual") & ~F.col("tried.status").eqNullSafe("manual")
+    eligible = F.coalesce(open_draft & ((own == "other") | F.coalesce(by_attempt, F.lit(False))), F.lit(False))
+    changed = F.col("tried").isNull() | ~F.col("tried.input_key").eqNullSafe(F.col("input_key"))
+    status = F.when(flag("manual"), "manual").otherwise(F.col("tried.status"))
+    return items.join(tried, "id", "left").select("id", status.alias("status"), eligible.alias("eligible"), (eligible & changed).alias("pending"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerlark import adapters
 from ledgerlark.functions import evidence as ev
 from ledgerlark.operators import evidence as joins
+from ledgerlark.operators import rules
 from ledgerlark.plans.core import register
 from ledgerlark.session import table
 
@@ -351,3 +352,43 @@ def mail_hits(spark, sf_dir):
     texts = F.array(*[F.struct(F.lit(k).alias("mail"), F.expr(t).alias("text")) for k, t in MAIL_TEXTS.items()])
     mails = rows.select(F.col("o_orderkey").alias("item"), F.inline(texts))
     return joins.search_hits(items, mails).withColumn("reasons", F.array_join("reasons", ","))
+
+
+LINE_ROLE = "CASE number % 4 WHEN 0 THEN 'invoice' WHEN 1 THEN 'payment' WHEN 2 THEN 'trip' ELSE 'purchase' END"
+
+
+@register(
+    "printed_attachments",
+    f"""WITH m AS ({adapters.MATERIAL_SQL}), a AS (SELECT pool, rn, CAST(cents AS VARCHAR) AS name, {LINE_ROLE} AS role FROM m WHERE blocked = 'O'),
+    s AS (SELECT pool, CASE WHEN pool % 5 IN (0, 4) THEN string_agg(CAST(rn AS VARCHAR), ',' ORDER BY rn)
+        ELSE string_agg(CAST(rn AS VARCHAR), ',' ORDER BY role IN ('invoice', 'payment'), name, rn) END AS selected FROM a
+        WHERE CASE pool % 5 WHEN 0 THEN role = 'payment' WHEN 1 THEN role IN ('invoice', 'payment') WHEN 2 THEN role IN ('purchase', 'invoice') WHEN 3 THEN role IN ('trip', 'invoice') ELSE true END GROUP BY pool)
+    SELECT p.pool AS id, coalesce(s.selected, '') AS selected FROM (SELECT DISTINCT pool FROM m) p LEFT JOIN s ON p.pool = s.pool""",
+)
+def printed_attachments(spark, sf_dir):
+    lines = adapters.material(spark, sf_dir).select("pool", "rn", F.col("cents").cast("string").alias("name"), F.expr(LINE_ROLE).alias("role"), (F.col("blocked") == "O").alias("available"))
+    rows = lines.groupBy("pool").agg(F.array_sort(F.collect_list(F.struct("rn", "name", "role", "available"))).alias("lines"))
+    as_id = lambda x: F.struct(x["rn"].cast("string").alias("id"), x["name"].alias("name"), x["role"].alias("role"), x["available"].alias("available"))
+    turn = F.col("pool") % 5
+    rows = rows.select(
+        F.col("pool").alias("id"), F.transform("lines", as_id).alias("attachments"), F.lit(None).cast("array<string>").alias("support"), (turn == 4).alias("acknowledged"),
+        F.lit(False).alias("complete"), F.when(turn == 0, "payment_only").alias("basis"), (turn == 3).alias("trip_required"), F.lit(False).alias("waybill_required"),
+        F.lit(False).alias("legacy"), F.lit(False).alias("alternative"), F.when(turn == 1, "hotel").otherwise("materials").alias("category"),
+    )
+    return rules.selected_attachments(rows).select("id", F.array_join("selected", ",").alias("selected"))
+
+
+@register(
+    "category_pending",
+    f"""WITH e AS ({adapters.EXPENSE_SQL}), t AS (SELECT *, CASE cents % 3 WHEN 0 THEN 'saved' WHEN 1 THEN 'manual' ELSE 'failed' END AS status FROM e WHERE owner <> 'BUILDING'),
+    j AS (SELECT e.id, t.status, e.cents % 11 = 0 AS manual, e.stage = 'draft' AND e.cents % 11 <> 0 AND coalesce(t.status <> 'manual', true)
+        AND (e.category = '5-LOW' OR coalesce(t.status = 'saved', false)) AS eligible, t.id IS NULL OR e.cents % 5 = 0 AS changed FROM e LEFT JOIN t ON e.id = t.id)
+    SELECT id, CASE WHEN manual THEN 'manual' ELSE status END AS status, eligible, eligible AND changed AS pending FROM j""",
+)
+def category_pending(spark, sf_dir):
+    rows = adapters.expense(spark, sf_dir).withColumn("category", F.when(F.col("category") == "5-LOW", "other").otherwise(F.col("category")))
+    cents = F.col("cents")
+    items = rows.select("id", "stage", F.lit(False).alias("verified"), F.lit(False).alias("closed"), "category", (cents % 11 == 0).alias("manual"), cents.alias("input_key"))
+    status = F.when(cents % 3 == 0, "saved").when(cents % 3 == 1, "manual").otherwise("failed")
+    tried = rows.filter(F.col("owner") != "BUILDING").select(F.col("id").alias("item"), status.alias("status"), "category", F.lit(None).cast("string").alias("managed"), F.when(cents % 5 != 0, cents).alias("input_key"))
+    return rules.category_status(items, tried)

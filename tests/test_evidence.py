@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlark.functions import evidence as ev
 from ledgerlark.functions import text as fn
 from ledgerlark.operators import evidence as joins
-from ledgerlark.operators import ledger, pairing, routing
+from ledgerlark.operators import ledger, pairing, routing, rules
 
 
 def values(spark, function, texts, *more):
@@ -160,3 +160,42 @@ def test_late_routes(spark):
     found = lambda default: sorted(tuple(r) for r in routing.reroute_unassigned(messages, projects, default).collect())
     assert found(None) == found("gone") == [(1, "a", "date")]
     assert found("b") == [(1, "a", "date"), (2, "b", "default"), (6, "b", "default")]
+
+
+ATTACHED = [("1", "z", "invoice", True), ("2", "b", "payment", True), ("3", "c", "receipt", True), ("4", "a", "order", True), ("5", "d", "package", True), ("6", "e", "invoice", False), ("7", "a", "invoice", None)]
+PRINT_CASES = [
+    ({"acknowledged": True}, ["1", "2", "3", "4", "5"]),
+    ({"acknowledged": True, "complete": True, "category": "rail"}, ["1"]),
+    ({"basis": "payment_only", "trip_required": True}, ["2"]),
+    ({"basis": "invoice_payment"}, ["3", "1", "2"]),
+    ({"basis": "invoice_payment", "support": ["4"]}, ["3", "1", "2", "4"]),
+    ({"basis": "invoice_payment", "support": ["4", "4"]}, None),
+    ({"basis": "invoice_payment", "support": ["2"]}, None),
+    ({"basis": "invoice_payment", "support": ["9"]}, None),
+    ({"legacy": True, "category": "rail"}, ["5"]),
+    ({"category": "takeout"}, ["4", "1"]),
+    ({"category": "printing"}, ["3", "2", "1"]),
+    ({"category": "materials", "alternative": True}, ["2"]),
+    ({"category": "other"}, None),
+    ({"attachments": None, "category": "rail"}, []),
+    ({"attachments": None, "legacy": True}, None),
+]
+
+
+def test_printed_attachments(spark):
+    flags = ("acknowledged", "complete", "trip_required", "waybill_required", "legacy", "alternative")
+    schema = "i int, attachments array<struct<id: string, name: string, role: string, available: boolean>>, support array<string>, basis string, category string, "
+    rows = [(i, c.get("attachments", ATTACHED), c.get("support"), c.get("basis"), c.get("category"), *(c.get(f) for f in flags)) for i, (c, _) in enumerate(PRINT_CASES)]
+    got = rules.selected_attachments(spark.createDataFrame(rows, schema + ", ".join(f"{f} boolean" for f in flags))).orderBy("i").collect()
+    assert [r.selected for r in got] == [want for _, want in PRINT_CASES]
+
+
+def test_category_status(spark):
+    items = [(1, "draft", None, None, "other", None, "k"), (2, "draft", True, None, "other", None, "k"), (3, "draft", None, None, "meals", None, "k"), (4, "draft", None, None, "meals", None, "k"),
+        (5, "draft", None, None, "other", True, "k"), (6, "submitted", None, None, "other", None, "k"), (7, "draft", None, None, None, None, None)]
+    items = spark.createDataFrame(items, "id int, stage string, verified boolean, closed boolean, category string, manual boolean, input_key string")
+    tried = [(3, "saved", "meals", None, "k"), (4, "failed", None, "meals", "old"), (5, "saved", "other", None, "k"), (6, "manual", None, None, "k"), (7, "saved", None, None, None)]
+    tried = spark.createDataFrame(tried, "item int, status string, category string, managed string, input_key string")
+    got = {r.id: (r.status, r.eligible, r.pending) for r in rules.category_status(items, tried).collect()}
+    assert got == {1: (None, True, True), 2: (None, False, False), 3: ("saved", True, False), 4: ("failed", True, True), 5: ("manual", False, False),
+        6: ("manual", False, False), 7: ("saved", False, False)}
