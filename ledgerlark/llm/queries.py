@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import bpe, chat, exact_dedup, fuzzy_lines, language, mixing, quality, setjoin, sharding, substrings
+from ledgerlark.llm import bpe, chat, exact_dedup, fuzzy_lines, infill, language, mixing, quality, setjoin, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -147,3 +147,29 @@ def op10_backtracking_bpe(spark, sf_dir):
         F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@register(
+    "op11_fill_in_middle",
+    """WITH t AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    d AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3,
+        CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t),
+    c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+             WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+    p AS (SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1, n - b) AS suffix FROM c)
+    SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+        CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+            ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+        sha256(t) AS restored_sha256 FROM p""",
+)
+def op11_fill_in_middle(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    h1, h2, h3, h4 = infill.draws(docs["doc_id"])
+    done = infill.fill_in_middle(docs, h1, h2, plain=h3 % 100 >= 90, spm=h4 % 100 < 20)
+    return done.select(
+        "doc_id", "infill.n", "infill.form", F.col("infill.prefix_units").alias("prefix_chars"), F.col("infill.middle_units").alias("middle_chars"),
+        F.sha2("infill.output", 256).alias("output_sha256"),
+        F.sha2(infill.restore(F.col("infill.output"), F.col("infill.form")), 256).alias("restored_sha256"),
+    )
