@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but these ASCII spaces.
@@ -23,13 +24,17 @@ def cut(df: DataFrame, per_task: int | None = None) -> DataFrame:
     The cluster's ``spark.checkpoint.dir`` is used. Where none is set, a local folder is in local mode, as in tests; on a
     cluster that is an error, as executors wouldn't see each other's files.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_folder(df.sparkSession.conf.get("spark.checkpoint.dir", None), context.master))
+    use_checkpoint_folder(df.sparkSession)
     kept = df.checkpoint()
     return kept if per_task is None else kept.coalesce(tasks_for(kept.count(), per_task))
 
 
+def use_checkpoint_folder(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_folder(spark.conf.get("spark.checkpoint.dir", None), context.master))
+
+
 def checkpoint_folder(given: str | None, master: str) -> str:
     """``given``, or in local mode a new local folder."""
     if given is None and master != "local" and not master.startswith("local["):
@@ -59,3 +64,9 @@ def partitions(df: DataFrame) -> int:
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A path that isn't there yet, in the folder where ``cut`` keeps what it cuts."""
+    use_checkpoint_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid4().hex}"

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import bpe, chat, exact_dedup, fuzzy_lines, infill, language, mixing, quality, setjoin, sharding, substrings
+from ledgerlark.llm import bpe, chat, exact_dedup, fuzzy_lines, infill, language, mixing, quality, records, setjoin, sharding, substrings
+from ledgerlark.llm.common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -173,3 +174,16 @@ def op11_fill_in_middle(spark, sf_dir):
         F.sha2("infill.output", 256).alias("output_sha256"),
         F.sha2(infill.restore(F.col("infill.output"), F.col("infill.form")), 256).alias("restored_sha256"),
     )
+
+
+@register("op13_record_files")
+def op13_record_files(spark, sf_dir):
+    import public_tokenizers
+
+    folder = shared_folder(spark, "records")
+    records.write_records(documents(spark, sf_dir), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    starts = F.broadcast(records.file_starts(spark.read.parquet(f"{folder}/index")))  # one row per file
+    return records.read_records(spark, folder).join(starts, "file").select(
+        "doc_id", (F.col("ahead") + F.col("before")).alias("start"), (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
