@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import bpe, chat, exact_dedup, fuzzy_lines, infill, language, mixing, quality, records, setjoin, sharding, substrings
+from ledgerlark.llm import bpe, chat, exact_dedup, fuzzy_lines, infill, language, mixing, quality, records, setjoin, sharding, spelling, substrings
 from ledgerlark.llm.common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,6 +176,12 @@ def op11_fill_in_middle(spark, sf_dir):
     )
 
 
+@register("op12_spelling_variants")
+def op12_spelling_variants(spark, sf_dir):
+    done = spelling.spelling_variants(documents(spark, sf_dir).select("doc_id", "text"), delete_every=spelling.DELETE_EVERY)
+    return done.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 @register("op13_record_files")
 def op13_record_files(spark, sf_dir):
     import public_tokenizers
