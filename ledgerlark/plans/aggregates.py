@@ -24,7 +24,7 @@ def person_allocation(spark, sf_dir):
 
 @register(
     "zero_filled_summary",
-    f"""WITH {E}, a AS ({ALLOCATION.format(where="WHERE category = '1-URGENT' AND project = 3")}),
+    f"""WITH {E}, a AS ({ALLOCATION.format(where="")}),
     p AS (SELECT DISTINCT c_mktsegment AS owner FROM customer UNION ALL SELECT '')
     SELECT p.owner, coalesce(items, 0) AS items, coalesce(cents, 0) AS cents, coalesce(packaged, 0) AS packaged,
         coalesce(ready, 0) AS ready, coalesce(pending, 0) AS pending FROM p LEFT JOIN a ON p.owner = a.owner""",

@@ -149,7 +149,7 @@ def batch_confirm(spark, sf_dir):
 
 @register(
     "merge_duplicates",
-    f"""WITH {M}, a AS (SELECT DISTINCT pool AS item, number % 50 AS digest, role FROM m WHERE pool < 600), g AS (SELECT DISTINCT pool AS source, pool - 1 AS target FROM m WHERE pool < 600 AND pool % 4 = 3),
+    f"""WITH {M}, a AS (SELECT DISTINCT pool AS item, number % 50 AS digest, role FROM m), g AS (SELECT DISTINCT pool AS source, pool - 1 AS target FROM m WHERE pool % 4 = 3),
     k AS (SELECT * FROM a WHERE item NOT IN (SELECT source FROM g)) SELECT * FROM k UNION SELECT target, digest, role FROM a JOIN g ON a.item = g.source""",
 )
 def merge_duplicates(spark, sf_dir):

@@ -102,7 +102,7 @@ def dedup_digest(spark, sf_dir):
 
 @register(
     "duplicate_lookup_or",
-    f"""WITH {E}, k AS (SELECT * FROM e WHERE stage = 'draft'), r AS (SELECT * FROM e WHERE stage = 'submitted' AND project < 5),
+    f"""WITH {E}, k AS (SELECT * FROM e WHERE stage = 'draft'), r AS (SELECT * FROM e WHERE stage = 'submitted'),
     h AS (SELECT id, 'cents' AS why FROM r WHERE cents IN (SELECT cents FROM k) UNION SELECT id, 'merchant' FROM r WHERE merchant IN (SELECT merchant FROM k))
     SELECT id, string_agg(why, ',' ORDER BY why) AS reasons FROM h GROUP BY id""",
 )
@@ -186,8 +186,8 @@ def canonical_person(spark, sf_dir):
 
 @register(
     "linked_closure",
-    """WITH RECURSIVE g AS (SELECT c_custkey AS src, (c_custkey * 7) % 1000 AS dst FROM customer WHERE c_custkey % 3 = 0),
-    r AS (SELECT c_custkey AS node FROM customer WHERE c_custkey % 250 = 0 UNION SELECT g.dst FROM r JOIN g ON r.node = g.src) SELECT node FROM r""",
+    """WITH RECURSIVE g AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 31) % (SELECT count(*) FROM customer) AS dst FROM orders),
+    r AS (SELECT c_custkey AS node FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal < 0 UNION SELECT g.dst FROM r JOIN g ON r.node = g.src) SELECT node FROM r""",
 )
 def linked_closure(spark, sf_dir):
     from ledgerlark.session import ensure_checkpoint_dir

@@ -129,7 +129,10 @@ def rowid_scan(spark, sf_dir):
     return rows.select(F.col("o_orderkey").alias("id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderkey"))).alias("seq"))
 
 
-@register("ordered_point_lookup", "SELECT w.pos, o_orderkey AS id, o_orderstatus AS status FROM (SELECT event_id AS pos, (user_id * 31) % 1500 AS k FROM events WHERE event_id < 200) w JOIN orders ON o_orderkey = w.k")
+@register(
+    "ordered_point_lookup",
+    f"WITH {MSG} SELECT msg.id AS pos, o_orderkey AS id, o_orderstatus AS status FROM msg JOIN orders ON o_orderkey = chat * 100 + local_id",
+)
 def ordered_point_lookup(spark, sf_dir):
     wanted = adapters.message(spark, sf_dir).select(F.col("id").alias("pos"), (F.col("chat") * 100 + F.col("local_id")).alias("k"))
     orders = table(spark, sf_dir, "orders")

@@ -91,7 +91,7 @@ def unique_number_in_text(spark, sf_dir):
 
 @register(
     "json_projection",
-    "SELECT event_id AS id, CAST(props ->> '$.k' AS BIGINT) AS k FROM events WHERE CAST(props ->> '$.k' AS BIGINT) % 7 = 3",
+    "SELECT event_id AS id, CAST(props ->> '$.k' AS BIGINT) AS k FROM events",
 )
 def json_projection(spark, sf_dir):
     data = F.from_json("props", "k bigint")
@@ -100,7 +100,7 @@ def json_projection(spark, sf_dir):
 
 @register(
     "csv_safe_cells",
-    r"SELECT doc_id, CASE WHEN regexp_matches(ltrim(text), '^[=+\-@]') THEN chr(39) || substr(text, 1, 40) ELSE substr(text, 1, 40) END AS cell FROM documents",
+    r"SELECT doc_id, sha256(CASE WHEN regexp_matches(ltrim(text), '^[=+\-@]') THEN chr(39) || text ELSE text END) AS digest FROM documents",
 )
 def csv_safe_cells(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(fn.safe_cell(F.col("text")), 256).alias("digest"))
