@@ -10,6 +10,7 @@ knows will do, tasks that are lost or run twice leave nothing behind, and no wor
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from dataclasses import dataclass
@@ -26,9 +27,13 @@ from ledgerlark.llm.shingles import slices
 #: About so many bytes of text go to one file; a file is read as one value.
 TEXT_BYTES = 24 << 20
 #: Texts that are worked on at a time.
-SLICE_BYTES = 8 << 20
-#: Words in the newer half of a worker's cache; at most twice as many are kept, some 100 MB.
-CACHE_WORDS, CACHE_BYTES = 250_000, 60
+SLICE_BYTES = 4 << 20
+#: Words in the newer half of a worker's cache; at most twice as many are kept, some 60 MB.
+CACHE_WORDS, CACHE_BYTES = 150_000, 60
+#: New words that are encoded as one text.
+JOINED_WORDS = 500
+#: Words of which each is one word to the tokenizer too, whatever stands beside it.
+ONE_WORD = re.compile("[a-zÀ-ÖØ-öø-ÿ]+")
 MASK_DELTA = 0xA282EAD8
 HEAD, CHECK, PAYLOAD = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<Bq")
 HAS_ID, WIDE = 1, 2
@@ -103,10 +108,31 @@ class WordEncoder:
         self.by_word = self.spell([text])[0] == b"".join(self.spell(list(parts)))
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.size, bool)
+        if suffix:
+            self.ends[[i for token, i in self.library.get_vocab(with_added_tokens=False).items() if token.endswith(suffix)]] = True
 
     def spell(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def spell_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words; those of letters only are encoded many at a time and told apart by the tokens that end words."""
+        out = [b""] * len(words)
+        plain = [i for i, w in enumerate(words) if ONE_WORD.fullmatch(w)] if self.ends.any() else []
+        texts = [" ".join([words[i] for i in plain[k : k + JOINED_WORDS]]) for k in range(0, len(plain), JOINED_WORDS)]
+        done = 0
+        for e in self.library.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(e.ids, self.kind)
+            starts = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                out[plain[done]] = ids[a:b].tobytes()
+                done += 1
+        rest = sorted({*range(len(words))}.difference(plain))
+        for i, ids in zip(rest, self.spell([words[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
     def words(self, found: list[str]) -> list[bytes]:
         """Ids of distinct words."""
         out = [self.known.get(w) for w in found]
@@ -116,7 +142,7 @@ class WordEncoder:
             out[i] = self.older.get(found[i])
             if out[i] is None:
                 fresh.append(i)
-        for i, ids in zip(fresh, self.spell([found[i] for i in fresh]) if fresh else [], strict=True):
+        for i, ids in zip(fresh, self.spell_words([found[i] for i in fresh]), strict=True):
             out[i] = ids
         for i in missing:
             if len(found[i]) <= CACHE_BYTES:
@@ -186,6 +212,7 @@ def framed(docs: DataFrame, path: str, end_id: int | None, cuts: np.ndarray, id_
                     [pa.array(file_of(keys, ties, cuts), pa.int32()), pa.array(keys), pa.array(ties), pa.array(made, pa.binary())],
                     ["file", "key", "tie", "frame"],
                 )
+        pa.default_memory_pool().release_unused()  # a worker may wait for long
 
     return rows.mapInArrow(run, "file int, key bigint, tie bigint, frame binary")
 
@@ -276,29 +303,33 @@ def read_records(spark: SparkSession, folder: str, wanted: DataFrame | None = No
     return wanted.join(found, ["file", "record"])
 
 
-def record_batch(file: int, content: memoryview, places) -> pa.RecordBatch:
-    read = [payload(content, at, size, str(file)) for _, at, size, _ in places]
-    before = [b for *_, b in places]
-    if before and before[0] is None:
-        counts = np.array([len(ids) for _, ids in read], np.int64)
-        before = np.cumsum(counts) - counts
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(read), file, np.int32)), pa.array([p[0] for p in places], pa.int64()), pa.array([d for d, _ in read], pa.int64()),
-         pa.array(before, pa.int64()), pa.array([ids.astype("<u4").tobytes() for _, ids in read], pa.binary())],
-        ["file", "record", "doc_id", "before", "ids"],
-    )
+def record_batches(file: int, content: memoryview, places):
+    """Batches of the records at ``places`` (record, offset, size, ids before it)."""
+    for i, j in slices([range(p[2]) for p in places], SLICE_BYTES):
+        here = places[i:j]
+        read = [payload(content, at, size, str(file)) for _, at, size, _ in here]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(read), file, np.int32)), pa.array([p[0] for p in here], pa.int64()), pa.array([d for d, _ in read], pa.int64()),
+             pa.array([p[3] for p in here], pa.int64()), pa.array([ids.astype("<u4").tobytes() for _, ids in read], pa.binary())],
+            ["file", "record", "doc_id", "before", "ids"],
+        )
 
 
 def read_all(batches):
     for batch in batches:
         for row in range(batch.num_rows):
             content = memoryview(batch.column(1)[row].as_buffer()).cast("B")
-            file = batch.column(0)[row].as_py()
-            yield record_batch(file, content, [(i, at, size, None) for i, (at, size) in enumerate(frames(content, str(file)))])
+            file, before = batch.column(0)[row].as_py(), 0
+            places = []
+            for i, (at, size) in enumerate(frames(content, str(file))):
+                places.append((i, at, size, before))
+                before += (size - PAYLOAD.size) // (4 if content[at + HEAD.size] & WIDE else 2)
+            yield from record_batches(file, content, places)
+    pa.default_memory_pool().release_unused()
 
 
 def read_places(batches):
     for batch in batches:
         for row in range(batch.num_rows):
             places = [(p["record"], p["offset"], p["size"], p["before"]) for p in batch.column(2)[row].as_py()]
-            yield record_batch(batch.column(0)[row].as_py(), memoryview(batch.column(1)[row].as_buffer()).cast("B"), places)
+            yield from record_batches(batch.column(0)[row].as_py(), memoryview(batch.column(1)[row].as_buffer()).cast("B"), places)
