@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerlark import adapters
 from ledgerlark.plans.core import register
-from ledgerlark.streaming import ingest
+from ledgerlark.streaming import ingest, timers
 
 MSG = f"msg AS ({adapters.MESSAGE_SQL})"
 #: A second within the events' time range. A fixed value.
@@ -117,3 +118,37 @@ def rescue_stuck(spark, sf_dir):
         rows = rows.join(msgs.filter(F.col("kind") == kind).select("chat", "local_id"), ["chat", "local_id"], "left_anti")
     held = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"))
     return rows.join(held, "id", "left_anti").select("id")
+
+
+OPENS = "('view', 'signup')"
+
+
+@register(
+    "task_stages",
+    f"""WITH {MSG}, r AS (SELECT chat AS project, row_number() OVER w AS turn, second // 16 AS sec, kind, local_id,
+        last_value(CASE WHEN kind IN {OPENS} THEN id END IGNORE NULLS) OVER w AS task FROM msg WINDOW w AS (PARTITION BY chat ORDER BY second, id)),
+    o AS (SELECT project, task, turn AS opened, sec + 300 AS ask FROM r WHERE kind IN {OPENS}),
+    a AS (SELECT o.project, o.task, min(r.turn) AS answer FROM o JOIN r ON r.project = o.project AND r.task = o.task AND kind = 'purchase' AND turn > opened AND sec >= ask AND sec < ask + 86400 GROUP BY ALL),
+    t AS (SELECT o.*, answer, (SELECT min(turn) FROM r WHERE r.project = o.project AND r.sec >= ask AND r.sec < ask + 1800) AS g,
+        (SELECT min(turn) FROM r WHERE r.project = o.project AND r.sec >= ask + 1800 AND r.sec < ask + 3600) AS d,
+        (SELECT min(turn) FROM r WHERE r.project = o.project AND r.sec >= ask + 3600) AS e FROM o LEFT JOIN a ON a.project = o.project AND a.task = o.task),
+    f AS (SELECT * REPLACE (CASE WHEN answer IS NULL OR g < answer THEN g END AS g, CASE WHEN answer IS NULL OR d < answer THEN d END AS d, CASE WHEN answer IS NULL OR e < answer THEN e END AS e) FROM t),
+    s AS (SELECT f.*, EXISTS (SELECT 1 FROM r WHERE r.project = f.project AND r.task = f.task AND kind = 'click' AND local_id % 2 = 0 AND turn > g AND turn <= coalesce(d, turn) AND turn <= coalesce(e, turn) AND turn < coalesce(answer, turn + 1)) AS gs,
+        EXISTS (SELECT 1 FROM r WHERE r.project = f.project AND r.task = f.task AND kind = 'click' AND local_id % 2 = 1 AND turn > d AND turn <= coalesce(e, turn) AND turn < coalesce(answer, turn + 1)) AS ds,
+        (SELECT max(turn) FROM r WHERE r.project = f.project AND kind = 'error' AND turn <= e) AS h FROM f)
+    SELECT s.project, s.task, CASE WHEN g IS NULL THEN NULL WHEN gs THEN 'sent' WHEN e IS NOT NULL OR answer IS NOT NULL OR d IS NOT NULL THEN 'cancelled' ELSE 'pending' END AS group_status,
+        CASE WHEN d IS NULL THEN NULL WHEN ds THEN 'sent' WHEN e IS NOT NULL OR answer IS NOT NULL THEN 'cancelled' ELSE 'pending' END AS direct_status,
+        CASE WHEN e IS NULL THEN NULL WHEN NOT coalesce(hr.local_id % 3 <> 0 AND er.sec - hr.sec BETWEEN 0 AND 120, false) THEN 'collector_unavailable' WHEN gs OR ds THEN 'reply_missing' ELSE 'inquiry_not_delivered' END AS reason,
+        answer IS NOT NULL AS answered
+    FROM s LEFT JOIN r hr ON hr.project = s.project AND hr.turn = s.h LEFT JOIN r er ON er.project = s.project AND er.turn = s.e""",
+)
+def task_stages(spark, sf_dir):
+    at = Window.partitionBy("chat").orderBy("second", "id")
+    msg, opens = adapters.message(spark, sf_dir), F.col("kind").isin("view", "signup")
+    kind = F.when(opens, "open").when(F.col("kind") == "click", "sent").when(F.col("kind") == "purchase", "answer").otherwise("health")
+    detail = F.when(opens, F.col("kind")).when(F.col("kind") == "click", F.when(F.col("local_id") % 2 == 0, "group").otherwise("direct"))
+    rows = msg.select(
+        F.col("chat").alias("project"), F.last(F.when(opens, F.col("id")), ignorenulls=True).over(at).alias("task"), F.floor(F.col("second") / 16).alias("at"),
+        kind.alias("kind"), F.coalesce(detail, F.when(F.col("local_id") % 3 != 0, "ok").otherwise("bad")).alias("detail"), F.row_number().over(at).alias("turn"),
+    ).withColumn("ask", F.when(F.col("kind") == "open", F.col("at") + 300))
+    return timers.staged_tasks(rows, rows.select("project", "turn", F.col("at").alias("tick")))
