@@ -30,6 +30,23 @@ def powers(n: int) -> np.ndarray:
 
 
 BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64))
+#: A number for each letter at each of a word's first places.
+PLACES = 64
+AT_PLACE = mix(np.arange(1, PLACES * 256 + 1, dtype=np.uint64) * ODD)
+
+
+def placed(letters: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A number for each letter and its place, unlike those of all others in every bit; sums of them tell words apart.
+
+    A polynomial modulo a power of two doesn't: it is the same for long words whose halves are exchanged again and again.
+    """
+    at = place << 8 | letters
+    if not len(at) or int(place.max()) < PLACES:
+        return AT_PLACE[at]
+    out = AT_PLACE[np.minimum(at, PLACES * 256 - 1)]
+    far = np.flatnonzero(place >= PLACES)
+    out[far] = mix((at[far] + 1).astype(np.uint64) * ODD)
+    return out
 
 
 @dataclass
@@ -57,7 +74,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     total = np.cumsum(lengths)
     place = np.arange(total[-1]) - np.repeat(total - lengths, lengths)
     letters = LOWER[joined[inside[1:]]]
-    values = BYTE_VALUE[letters] * powers(int(lengths.max()))[place]
+    values = placed(letters, place)
     hashes = mix(np.add.reduceat(values, total - lengths) + lengths.astype(np.uint64) * ODD)
     return hashes, np.concatenate([[0], np.searchsorted(starts, text_ends)])
 
