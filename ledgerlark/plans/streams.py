@@ -50,7 +50,15 @@ def rate_limited(spark, sf_dir):
     return ingest.rate_limited(adapters.message(spark, sf_dir).select(F.col("chat").alias("object"), "id", "second"))
 
 
-@register("outbox_state")
+@register(
+    "outbox_state",
+    f"""WITH {MSG}, c AS (SELECT chat AS project, id AS seq, local_id AS item, kind <> 'error' AS verified, CASE WHEN kind <> 'error' THEN id END AS entry FROM msg),
+    s AS (SELECT *, entry IS DISTINCT FROM lag(entry) OVER (PARTITION BY project, item ORDER BY seq) AS fresh FROM c),
+    v AS (SELECT *, CAST(sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY project ORDER BY seq) AS BIGINT) AS version FROM s),
+    e AS (SELECT project, version, max(seq) AS seq FROM v WHERE version > 0 GROUP BY project, version)
+    SELECT project, version, CASE WHEN version = max(version) OVER (PARTITION BY project) THEN 'pending' ELSE 'superseded' END AS status,
+        (SELECT count(*) FROM c a WHERE a.project = e.project AND a.verified AND a.seq = (SELECT max(b.seq) FROM c b WHERE b.project = a.project AND b.item = a.item AND b.seq <= e.seq)) AS verified_items FROM e""",
+)
 def outbox_state(spark, sf_dir):
     changes = adapters.message(spark, sf_dir).select(
         F.col("chat").alias("project"), F.col("id").alias("seq"), F.col("local_id").alias("item"), (F.col("kind") != "error").alias("verified"), F.col("id").alias("version")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ledgerlark.streaming.outbox import events_of
+
 OVERLAP = 120
 
 
@@ -99,33 +101,11 @@ def rate_limited_stream(rows: DataFrame, *, most: int = 3, period: int = 86_400)
 def outbox(changes: DataFrame) -> DataFrame:
     """The outbox of each project after changes (project, seq, item, verified, version): rows of (project, version, status, verified_items).
 
-    An ordered fold: the snapshot of a project is its items' verified versions. A change that leaves it as it is only
-    refreshes the pending row; another snapshot supersedes it and adds a new row, unless nothing is verified before and after.
+    The snapshot of a project is its items' verified versions. A change that leaves it as it is only refreshes the pending row; another
+    snapshot supersedes it and adds a new row. Running sums over sorted rows, without a group in Python; see ``outbox``.
     """
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("seq")
-        items: dict = {}
-        rows: list[list] = []
-        before: tuple = ()
-        version = 0
-        for r in part.itertuples():
-            if r.verified:
-                items[r.item] = r.version
-            else:
-                items.pop(r.item, None)
-            now = tuple(sorted(items.items()))
-            if now != before:
-                version += 1
-                for row in rows:
-                    if row[2] == "pending":
-                        row[2] = "superseded"
-                if before or now:
-                    rows.append([r.project, version, "pending", len(now)])
-            before = now
-        return pd.DataFrame(rows, columns=["project", "version", "status", "verified_items"])
-
-    return changes.groupBy("project").applyInPandas(fold, "project bigint, version bigint, status string, verified_items bigint")
+    rows = events_of(changes.select("project", "seq", "item", "version", "verified", F.lit(True).alias("active"), F.lit(0).cast("bigint").alias("cents")))
+    return rows.select("project", "version", "status", "verified_items")
 
 
 def version_chain(snapshots: DataFrame, hash_of: Callable[[str], str] | None = None) -> DataFrame:
