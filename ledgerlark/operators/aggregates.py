@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlark.operators.windows import last_n
+
 PACKAGED = ("submitted", "reimbursed")
 
 
@@ -161,3 +163,17 @@ def personnel_ledger(rows: DataFrame, overrides: DataFrame) -> DataFrame:
     """Per (day, label): how many rows and which people; an override's label wins over the row's own."""
     label = rows.join(overrides, "person", "left").withColumn("label", F.coalesce("override", "label"))
     return label.groupBy("day", "label").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("person")).cast("array<string>"), ",").alias("people"))
+
+
+#: Steps of a stage that its timings tell of. A fixed value.
+RECENT = 256
+
+
+def recent_timings(rows: DataFrame, most: int = RECENT) -> DataFrame:
+    """(stage, steps, spent, longest, errors) over the last ``most`` steps (stage, second, id, spent, failed) of each stage.
+
+    Spark limits each task's rows of a stage before the shuffle, so a stage that nearly all steps are of sends ``most`` rows a task.
+    """
+    return last_n(rows, ["stage"], most, "second", "id").groupBy("stage").agg(
+        F.count("*").alias("steps"), F.sum("spent").alias("spent"), F.max("spent").alias("longest"), F.count_if(F.coalesce("failed", F.lit(False))).alias("errors")
+    )

@@ -227,3 +227,15 @@ def stage_timings(spark, sf_dir):
 def next_due(spark, sf_dir):
     due = F.least(F.col("second") + F.col("local_id") * 60, F.col("second") + 86400)
     return adapters.message(spark, sf_dir).groupBy("kind").agg(F.min(due).alias("due"))
+
+
+@register(
+    "recent_stage_timings",
+    f"""WITH msg AS ({adapters.MESSAGE_SQL}), r AS (SELECT kind AS stage, CAST(round(value * 100) AS BIGINT) AS spent, local_id % 9 = 0 AS failed, row_number() OVER (PARTITION BY kind ORDER BY second DESC, id DESC) AS place FROM msg)
+    SELECT stage, count(*) AS steps, CAST(sum(spent) AS BIGINT) AS spent, max(spent) AS longest, count(*) FILTER (WHERE failed) AS errors FROM r WHERE place <= 256 GROUP BY stage""",
+)
+def recent_stage_timings(spark, sf_dir):
+    rows = adapters.message(spark, sf_dir).select(
+        F.col("kind").alias("stage"), "second", "id", F.round(F.col("value") * 100).cast("bigint").alias("spent"), (F.col("local_id") % 9 == 0).alias("failed")
+    )
+    return ops.recent_timings(rows)

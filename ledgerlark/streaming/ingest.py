@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ledgerlark.streaming.folds import ordered_fold
 from ledgerlark.streaming.outbox import events_of
 
 OVERLAP = 120
@@ -68,13 +69,18 @@ def limit_rate(times: list[int], *, most: int = 3, period: int = 86_400) -> list
 
 
 def rate_limited(rows: DataFrame, *, most: int = 3, period: int = 86_400) -> DataFrame:
-    """Rows (object, id, second) with ``emitted``, as an ordered fold per object."""
+    """Rows (object, id, second) with ``emitted``, as an ordered fold per object whose state are its last emissions, ``most`` at most."""
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["second", "id"])
-        return part.assign(emitted=limit_rate(part["second"].tolist(), most=most, period=period))
+    def step(sent: list, row: dict) -> tuple:
+        now = row["second"]
+        while sent and sent[0] <= now - period:
+            sent.pop(0)
+        emitted = len(sent) < most
+        if emitted:
+            sent.append(now)
+        return row["object"], row["id"], now, emitted
 
-    return rows.select("object", "id", "second").groupBy("object").applyInPandas(fold, "object bigint, id bigint, second bigint, emitted boolean")
+    return ordered_fold(rows.select("object", "id", "second"), "object", ["second", "id"], "object bigint, id bigint, second bigint, emitted boolean", list, step)
 
 
 def rate_limited_stream(rows: DataFrame, *, most: int = 3, period: int = 86_400) -> DataFrame:
@@ -115,16 +121,12 @@ def version_chain(snapshots: DataFrame, hash_of: Callable[[str], str] | None = N
 
     name = hash_of or (lambda s: hashlib.sha256(s.encode()).hexdigest())
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("seq")
-        version, last, out = "", None, []
-        for f in part["fingerprint"]:
-            if f != last:
-                version, last = name(f"{version}:{f}"), f
-            out.append(version)
-        return part[["key", "seq"]].assign(version=out)
+    def step(state: dict, row: dict) -> tuple:
+        if not state or row["fingerprint"] != state["last"]:
+            state.update(version=name(f"{state.get('version', '')}:{row['fingerprint']}"), last=row["fingerprint"])
+        return row["key"], row["seq"], state["version"]
 
-    return snapshots.groupBy("key").applyInPandas(fold, "key bigint, seq bigint, version string")
+    return ordered_fold(snapshots.select("key", "seq", "fingerprint"), "key", ["seq"], "key bigint, seq bigint, version string", dict, step)
 
 
 def apply_in_order(tasks: DataFrame, events: DataFrame) -> DataFrame:
@@ -134,20 +136,25 @@ def apply_in_order(tasks: DataFrame, events: DataFrame) -> DataFrame:
     change without a baseline, asks for clarification; every applied one adds a revision.
     """
 
-    def fold(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        value, last, revision, kept, clarify = None, None, 0, 0, 0
-        for r in part.sort_values("id").itertuples():
-            if last is not None and r.at < last:
-                kept += 1
-            elif last is not None and r.at == last or (r.kind != "set" and value is None):
-                clarify += 1
-            else:
-                value = r.number if r.kind == "set" else value + (r.number if r.kind == "add" else -r.number)
-                last, revision = r.at, revision + 1
-        return pd.DataFrame([(key[0], value, revision, kept, clarify)], columns=["task", "value", "revision", "kept", "clarify"]).astype({"value": "Int64"})
-
-    joined = events.join(tasks.select("task"), "task", "left_semi")
-    return joined.groupBy("task").applyInPandas(fold, "task bigint, value bigint, revision bigint, kept bigint, clarify bigint")
+    def step(state: dict, row: dict) -> None:
+        at, kind, value = row["at"], row["kind"], state["value"]
+        if state["last"] is not None and at < state["last"]:
+            state["kept"] += 1
+        elif state["last"] is not None and at == state["last"] or (kind != "set" and value is None):
+            state["clarify"] += 1
+        else:
+            state["value"] = row["number"] if kind == "set" else value + (row["number"] if kind == "add" else -row["number"])
+            state["last"] = at
+            state["revision"] += 1
+
+    def start() -> dict:
+        return {"value": None, "last": None, "revision": 0, "kept": 0, "clarify": 0}
+
+    def finish(task: int, state: dict) -> tuple:
+        return task, state["value"], state["revision"], state["kept"], state["clarify"]
+
+    joined = events.join(tasks.select("task"), "task", "left_semi").select("task", "at", "id", "kind", "number")
+    return ordered_fold(joined, "task", ["id"], "task bigint, value bigint, revision bigint, kept bigint, clarify bigint", start, step, finish)
 
 
 def due_occurrences(tasks: DataFrame, now: int, *, day: int = 86_400) -> DataFrame:

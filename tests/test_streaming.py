@@ -1,6 +1,6 @@
 import pandas as pd
 
-from ledgerlark.streaming import ingest
+from ledgerlark.streaming import folds, ingest
 
 
 def test_rate_limit_ignores_what_it_suppressed():
@@ -49,3 +49,18 @@ def test_event_fold(spark):
     events = spark.createDataFrame(rows, "task long, at long, id long, kind string, number long")
     got = ingest.apply_in_order(events.select("task").distinct(), events).first()
     assert (got.value, got.revision, got.kept, got.clarify) == (22, 2, 1, 2)
+
+
+def test_a_key_over_many_batches_is_one_fold(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = spark.range(600).selectExpr("CASE WHEN id % 3 > 0 THEN 1 WHEN id % 5 = 0 THEN NULL ELSE id END AS key", "-id AS place", "id")
+        seen = lambda state, row: state.append(row["id"]) or (row["key"], len(state), min(state))
+        got = folds.ordered_fold(rows, "key", ["place"], "key bigint, n bigint, least bigint", list, seen).collect()
+        hot = sorted((r.n, r.least) for r in got if r.key == 1)
+        ids = sorted((i for i in range(600) if i % 3), reverse=True)
+        assert hot == [(n + 1, i) for n, i in enumerate(ids)] and len(got) == 600 - 40
+        count = folds.ordered_fold(rows, "key", ["place"], "key bigint, n bigint", lambda: [0], lambda s, r: s.__setitem__(0, s[0] + 1), lambda k, s: (k, s[0])).collect()
+        assert {r.key: r.n for r in count}[1] == 400 and len(count) == 161 and folds.ordered_fold(rows.limit(0), "key", ["place"], "key bigint", list, seen).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
