@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlark.plans import aggregates, evidence, ledger, lookups, pages, pairs, streams, texts  # noqa: F401
+from ledgerlark.plans import aggregates, evidence, ledger, lookups, pages, pairs, sources, streams, texts  # noqa: F401
 from ledgerlark.plans.core import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
