@@ -21,10 +21,11 @@ COMPANY_END = "(股份有限公司|有限责任公司|有限公司)$"
 SHOP_END = "(股份有限公司|有限责任公司|有限公司|酒店|宾馆|旅馆|公寓|食堂|餐厅|餐饮店|快餐店|饭店|便利店|超市|小吃店|商店)$"
 NO_COMPANY = "支付宝|微信支付|财付通|银联|中国铁路|银行"
 NO_SHOP = "支付宝|微信|财付通|银联|银行|支付平台|酒店旅游|酒店住宿|住宿服务|餐饮服务|材料采购"
-PLATFORMS = (
+PLATFORM_NAMES = (
     "支付宝", "微信", "微信支付", "财付通", "银联", "支付平台", "携程", "携程旅行", "同程旅行", "飞猪", "去哪儿", "美团", "美团外卖",
-    "淘宝", "淘宝闪购", "京东", "酒店", "住宿", "餐饮", "其他", "携程旅行网",
+    "淘宝", "淘宝闪购", "京东",
 )
+GENERIC_NAMES = ("酒店", "住宿", "餐饮", "其他", "携程旅行网")
 VAGUE_CORES = ("餐饮", "酒店", "住宿", "快餐", "小吃", "便利", "旅游", "生活", "南昌", "南昌市")
 TRIP_MARKERS = (
     "滴滴出行-行程单", "滴滴出行行程单", "DIDITRAVEL-TRIPTABLE", "CAOCAOTRAVEL-TRIPTABLE", "第三方网约车服务提供方曹操出行—行程单",
@@ -134,9 +135,9 @@ def specific_merchant(text: Column, amount: Column) -> Column:
     long_enough = ~ending.endswith("公司") | (_cjk(F.regexp_replace(core, LOCAL_PREFIX, "")) >= 4)
     good = (
         (_cjk(shop) >= 4) & (F.length(shop) <= 160) & has(shop, r"^[一-鿿A-Za-z0-9（）()·-]+$") & ~has(shop, NO_SHOP)
-        & ~shop.isin(*PLATFORMS) & (ending != "") & (_cjk(core) >= 2) & long_enough & ~core.isin(*VAGUE_CORES)
+        & ~shop.isin(*PLATFORM_NAMES, *GENERIC_NAMES) & (ending != "") & (_cjk(core) >= 2) & long_enough & ~core.isin(*VAGUE_CORES)
     )
-    return F.when(name.isin(*PLATFORMS[:16]), None).when(company.isNotNull(), company).when((shop == "中国铁路") | good, shop)
+    return F.when(name.isin(*PLATFORM_NAMES), None).when(company.isNotNull(), company).when((shop == "中国铁路") | good, shop)
 
 
 def same_company(left: Column, right: Column) -> Column:
@@ -170,16 +171,27 @@ def merchant_relation(left: Column, right: Column) -> Column:
     return F.when(known(left["shop"]) & known(right["shop"]), shops).when(named, "yes").when(known(one) & known(two), "no").otherwise("unknown")
 
 
-def source_relation(left: Column, right: Column, relation: Column) -> Column:
+def transfer_recipient(text: Column) -> Column:
+    """The company that a payment's text says the money was transferred to, in normal form; null if none."""
+    return F.nullif(F.regexp_extract(compatibility_form(text), "转给([一-鿿A-Za-z0-9（）()·]+?(?:股份有限公司|有限责任公司|有限公司))", 1), F.lit(""))
+
+
+def source_relation(left: Column, right: Column, relation: Column, *, conflict: Column | None = None, identity: Column | None = None, recipient: Column | None = None) -> Column:
     """Whether two arrays of identifiers (kind, namespace, value) or else ``merchant_relation`` tie two sources together.
 
-    A domain (kind, namespace) that both have with other values rules it out.
+    A name ``conflict`` of either side rules it out, as does a domain (kind, namespace) that both have with other values. An invoice's merchant
+    ``identity`` and the ``recipient`` of a payment's transfer tie them too, if they are one company.
     """
     domain = lambda i: F.struct(i["kind"], i["namespace"])
     mine = lambda ids, d: F.array_sort(F.array_distinct(F.transform(F.filter(ids, lambda i: domain(i) == d), lambda i: i["value"])))
     shared = F.array_intersect(F.transform(left, domain), F.transform(right, domain))
     agree = F.forall(shared, lambda d: mine(left, d) == mine(right, d))
-    return F.coalesce(agree & (F.arrays_overlap(left, right) | (relation == "yes")), F.lit(False))
+    tied = F.arrays_overlap(left, right) | (relation == "yes")
+    if identity is not None and recipient is not None:
+        tied = F.coalesce(tied, F.lit(False)) | same_company(merchant_identity(identity), merchant_identity(recipient))
+    if conflict is not None:
+        agree = agree & ~F.coalesce(conflict, F.lit(False))
+    return F.coalesce(agree & tied, F.lit(False))
 
 
 # -- kinds, amounts and dates
@@ -339,6 +351,23 @@ def compare_code(code: Column, fields: Column) -> Column:
     return F.when(code.isNull(), "unreadable").when(F.array_contains(states, "other"), "mismatch").when(F.array_contains(states, "open"), "partial").otherwise("match")
 
 
+def compare_company(names: Column, tax_hashes: Column, name: Column, tax_hash: Column) -> Column:
+    """A struct (status, mismatches): a buyer's read name and hash of its tax number against a profile's arrays of them, in normal form.
+
+    match if all that the profile has was read and fits, partial if only some was read, mismatch if something doesn't fit, unreadable if nothing
+    was read; null without a profile.
+    """
+    flat = F.upper(F.coalesce(compatibility_form(name), F.lit("")))
+    given = F.coalesce(tax_hash, F.lit(""))
+    has_names, has_hashes = F.size(F.coalesce(names, F.array().cast("array<string>"))) > 0, F.size(F.coalesce(tax_hashes, F.array().cast("array<string>"))) > 0
+    bad = F.array_compact(F.array(
+        F.when((flat != "") & has_names & ~F.array_contains(names, flat), "name"), F.when((given != "") & has_hashes & ~F.array_contains(tax_hashes, given), "tax_id")
+    ))
+    whole = (~has_names | (flat != "")) & (~has_hashes | (given != ""))
+    status = F.when(F.size(bad) > 0, "mismatch").when((flat == "") & (given == ""), "unreadable").when(whole, "match").otherwise("partial")
+    return F.when(has_names | has_hashes, F.struct(status.alias("status"), bad.alias("mismatches")))
+
+
 def confirm_amounts(amount: Column, face: Column, stored: Column, parts: Column, reason: Column) -> Column:
     """Why a confirmation of an expense's amounts (cents) is refused; null if it is accepted.
 

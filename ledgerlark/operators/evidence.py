@@ -32,8 +32,9 @@ def render_pairs(images: DataFrame, documents: DataFrame) -> DataFrame:
 
     Both have id, batch, source, project, stem, number and conflict; ``documents`` have name, too. They match by the file's stem (an image
     may also have the document's whole name as its stem) or by number. Conflicting numbers rule a row out, and two known numbers that
-    differ a pair. Each way to match is an equality join.
+    differ a pair. Rows without a batch pair with nothing. Each way to match is an equality join.
     """
+    images, documents = (df.filter("CAST(batch AS string) <> ''") for df in (images, documents))
     keys = ["batch", "source", "project"]
     left = images.filter("NOT conflict").select(*keys, F.col("id").alias("image"), F.col("stem").alias("image_stem"), F.nullif("number", F.lit("")).alias("image_number"))
     right = documents.filter("NOT conflict").select(*keys, F.col("id").alias("document"), "stem", "name", F.nullif("number", F.lit("")).alias("number"))

@@ -82,3 +82,10 @@ def keyset_page(rows: DataFrame, key: str, *, after: int, size: int) -> DataFram
 def fail_closed(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """Rows of keys within the limit; a key over it gives nothing, not a prefix."""
     return rows.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).filter(F.col("_n") <= limit).drop("_n")
+
+
+def get_many(wanted: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """``wanted`` (pos and ``key``) with the row of each key, in any number and order; a key without a row fails the whole call."""
+    found = wanted.join(rows.withColumn("_there", F.lit(True)), key, "left")
+    missing = F.raise_error(F.concat(F.lit(f"no row with {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return found.filter(F.when(F.col("_there"), True).otherwise(missing.cast("boolean"))).drop("_there")

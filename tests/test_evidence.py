@@ -199,3 +199,45 @@ def test_category_status(spark):
     got = {r.id: (r.status, r.eligible, r.pending) for r in rules.category_status(items, tried).collect()}
     assert got == {1: (None, True, True), 2: (None, False, False), 3: ("saved", True, False), 4: ("failed", True, True), 5: ("manual", False, False),
         6: ("manual", False, False), 7: ("saved", False, False)}
+
+
+def test_source_relations_with_transfers_and_conflicts(spark):
+    x = lambda v: [("payment_order", "支付宝", v)]
+    rows = [
+        ([], [], "unknown", False, "南昌市红谷建材有限公司", "微信 转给 红谷建材有限公司 成功", True), ([], [], "unknown", True, "红谷建材有限公司", "转给红谷建材有限公司", False),
+        ([], [], "unknown", False, "红谷建材有限公司", "转给别家建材有限公司", False), ([], [], "no", False, None, "转给红谷建材有限公司", False), ([], [], "yes", False, None, None, True), ([], [], "yes", True, None, None, False),
+        (x("a1"), x("b2"), "yes", False, "红谷建材有限公司", "转给红谷建材有限公司", False), (x("a1"), x("a1"), "unknown", None, None, "红谷建材有限公司", True), ([], [], None, None, None, None, False),
+    ]
+    ids = "array<struct<kind:string,namespace:string,value:string>>"
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, l {ids}, r {ids}, rel string, c boolean, name string, t string, want boolean")
+    df = df.withColumn("to", ev.transfer_recipient(F.col("t")))
+    got = df.select("i", "want", ev.source_relation(F.col("l"), F.col("r"), F.col("rel"), conflict=F.col("c"), identity=F.col("name"), recipient=F.col("to")).alias("got")).collect()
+    assert [(r.i, r.got) for r in got] == [(r.i, r.want) for r in got]
+
+
+def test_buyer_against_the_profile(spark):
+    rows = [
+        (["甲公司"], ["h1"], "甲 公司", "h1", ("match", [])), (["甲公司"], ["h1"], "甲公司", "", ("partial", [])), (["甲公司"], ["h1"], "乙公司", "h2", ("mismatch", ["name", "tax_id"])), (["甲公司"], [], "甲公司", None, ("match", [])),
+        (["ABC"], None, "ａｂｃ", "h9", ("match", [])), (["甲公司"], ["h1"], None, None, ("unreadable", [])), ([], [], "甲公司", "h1", None), (None, None, None, None, None),
+    ]
+    df = spark.createDataFrame([(i, *r[:4]) for i, r in enumerate(rows)], "i int, n array<string>, h array<string>, name string, tax string")
+    got = {r.i: r.c for r in df.select("i", ev.compare_company(F.col("n"), F.col("h"), F.col("name"), F.col("tax")).alias("c")).collect()}
+    assert [got[i] and tuple(got[i]) for i in range(len(rows))] == [r[4] for r in rows]
+
+
+def test_renderings_need_a_batch(spark):
+    schema = "id long, batch string, source string, project string, stem string, number string, conflict boolean, name string"
+    rows = [(1, "", "s", "", "a", "", False, "a.pdf"), (2, None, "s", "", "b", "", False, "b.pdf"), (3, "x", "s", "", "c", "", False, "c.pdf")]
+    df = spark.createDataFrame(rows, schema)
+    assert [tuple(r) for r in joins.render_pairs(df, df.withColumn("id", F.col("id") + 10)).collect()] == [(3, 13)]
+
+
+def test_a_missing_key_fails_the_whole_call(spark):
+    from ledgerlark.operators import windows
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    wanted = lambda *ids: spark.createDataFrame(list(enumerate(ids)), "pos long, id long")
+    assert sorted((r.pos, r.v) for r in windows.get_many(wanted(2, 1, 2), rows, "id").collect()) == [(0, "b"), (1, "a"), (2, "b")]
+    for ids in ((1, 3), (None,)):
+        with pytest.raises(Exception, match="no row with id"):
+            windows.get_many(wanted(*ids), rows, "id").collect()
