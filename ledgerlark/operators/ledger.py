@@ -105,3 +105,98 @@ def undo(current: DataFrame, after: DataFrame, before: DataFrame, keys: list[str
 def upsert_max(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Old and new values per key, of which the greater one stays."""
     return old.select(*keys, value).unionByName(new.select(*keys, value)).groupBy(*keys).agg(F.max(value).alias(value))
+
+
+#: Roles that may be archived, states that cards have in the pool, and what a gap may be. Fixed values.
+ARCHIVE_ROLES = ("invoice", "payment", "receipt", "purchase", "order", "trip", "trip_sheet", "detail", "other")
+IN_POOL = ("received", "review")
+MATERIAL_GAPS = (
+    "支付凭证", "发票", "行程单", "发票或收据", "付款截图", "购买明细／收据", "发票或微信／支付宝扣费记录", "12306发票", "订单记录或购买明细／收据",
+    "订单记录", "运单明细", "发票或收据／购买明细", "微信／支付宝扣费记录",
+)
+
+
+def archive(queue: DataFrame, commands: DataFrame, attached: DataFrame) -> DataFrame:
+    """``queue`` after one command per card (id, revision, project, action), with ``outcome``.
+
+    A card is (id, project, role, status, digest, revision, linked, converted, needless, archived_from, deleted_from). ``archive`` takes one out of the
+    pool, ``restore`` puts it back into the state that it had, ``delete`` hides an archived one, and ``restore-deleted`` takes it back to the
+    archive, never to the pool. ``needless`` cards (payments of rail tickets) are never put back, and may be deleted at once.
+    A command has to know the card's revision and its project, if it has one. Cards whose original (``attached`` digests) or self belongs to an
+    expense, or that were converted, stay. An applied command adds a revision; null flags count as false.
+    """
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    asked = commands.select("id", "action", F.col("revision").alias("_seen"), F.col("project").alias("_project"))
+    held = attached.select("digest").distinct().withColumn("_held", F.lit(True))
+    rows = queue.join(asked, "id", "left").join(held, "digest", "left")
+    status, needless = F.col("status"), flag(F.col("needless")) | (F.col("status") == "unused")
+    may = (
+        F.when(F.col("action") == "archive", status.isin(*IN_POOL) & ~needless)
+        .when(F.col("action") == "restore", (status == "archived") & ~needless & flag(F.col("archived_from").isin(*IN_POOL)))
+        .when(F.col("action") == "delete", status.isin("archived", "unused") | (needless & status.isin(*IN_POOL)))
+        .when(F.col("action") == "restore-deleted", (status == "deleted") & flag(F.col("deleted_from").isin("archived", "unused")))
+    )
+    foreign = flag((F.col("project") != "") & (F.col("project") != F.coalesce("_project", F.lit(""))))
+    outcome = (
+        F.when(F.col("action").isNull(), "none").when(~flag(F.col("revision") == F.col("_seen")), "stale").when(foreign, "other project")
+        .when(flag(F.col("_held")) | flag(F.col("linked")), "linked").when(flag(F.col("converted")) | (status == "converted"), "converted")
+        .when(~F.coalesce("role", F.lit("other")).isin(*ARCHIVE_ROLES), "wrong role").when(~flag(may), "not allowed").otherwise("applied")
+    )
+    rows = rows.withColumn("outcome", outcome)
+    did = lambda action: (F.col("outcome") == "applied") & (F.col("action") == action)
+    gone = F.when(needless, "unused").otherwise(status)
+    return rows.select(
+        "id",
+        F.when(did("archive"), "archived").when(did("delete"), "deleted").when(did("restore"), F.col("archived_from")).when(did("restore-deleted"), F.col("deleted_from")).otherwise(status).alias("status"),
+        F.when(did("archive"), status).when(~did("restore"), F.col("archived_from")).alias("archived_from"),
+        F.when(did("delete"), gone).when(~did("restore-deleted"), F.col("deleted_from")).alias("deleted_from"),
+        (F.col("revision") + (F.col("outcome") == "applied").cast("int")).alias("revision"), "outcome",
+    )
+
+
+def move_project(expenses: DataFrame, queue: DataFrame, groups: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Expenses, queue and groups after ``moves`` (id, target): each moves whole with what was merged into it, or not at all.
+
+    ``expenses`` (id, project, person, merged_into, match_id, verified, stage), ``queue`` (id, item_id, match_id, project, revision), ``groups`` (match_id, item_id,
+    project, undone). An expense with a person of its old project doesn't move, nor one whose group is missing, undone or of another expense, or has
+    a card that went elsewhere since. What moves is unverified again and asks for review if it is a draft; its cards get a higher revision.
+    ``outcome`` of the moved expenses tells why one stayed.
+    """
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    asked = moves.groupBy("id").agg(F.max("target").alias("target"))
+    heads = expenses.join(asked, "id")
+    own = groups.select("match_id", F.col("item_id").alias("_owner"), F.col("undone").alias("_undone"))
+    # A card of the group that belongs to neither the expense nor its members, or a member's card of another group.
+    parts = expenses.select(F.col("id").alias("item_id"), F.coalesce("merged_into", "id").alias("head"))
+    strays = queue.filter("match_id IS NOT NULL").join(parts, "item_id", "left").join(groups.select("match_id", F.col("item_id").alias("_owner")), "match_id")
+    strays = strays.filter(~flag(F.col("head") == F.col("_owner"))).select("match_id").distinct().withColumn("_stray", F.lit(True))
+    judged = heads.join(own, "match_id", "left").join(strays, "match_id", "left")
+    outcome = (
+        F.when(F.col("merged_into").isNotNull(), "merged").when(F.col("person").isNotNull() & (F.col("project") != F.col("target")), "has a person")
+        .when(F.col("match_id").isNotNull() & (~flag(F.col("_owner") == F.col("id")) | flag(F.col("_undone"))), "group changed").when(flag(F.col("_stray")), "card changed").otherwise("moved")
+    )
+    judged = judged.select("id", "target", outcome.alias("outcome"))
+    moved = judged.filter("outcome = 'moved'").select(F.col("id").alias("head"), "target")
+    whole = parts.join(moved, "head").select(F.col("item_id").alias("id"), "target")
+    done = F.col("target").isNotNull()
+    out = expenses.join(whole, "id", "left").join(judged.select("id", "outcome"), "id", "left").select(
+        "id", F.coalesce("target", "project").alias("project"), "merged_into", (flag(F.col("verified")) & ~done).alias("verified"),
+        (done & flag(F.col("stage") == "draft")).alias("review"), F.coalesce("outcome", F.when(done, "moved").otherwise("none")).alias("outcome"),
+    )
+    cards = queue.join(whole.select(F.col("id").alias("item_id"), "target"), "item_id", "left").select("id", "item_id", F.coalesce("target", "project").alias("project"), (F.col("revision") + done.cast("int")).alias("revision"))
+    sets = groups.join(moved.select(F.col("head").alias("item_id"), "target"), "item_id", "left").select("match_id", "item_id", F.coalesce("target", "project").alias("project"))
+    return out, cards, sets
+
+
+def acknowledged(items: DataFrame) -> DataFrame:
+    """``items`` with ``acknowledged``: whether what is missing was accepted, for just this state of the expense and its sources.
+
+    An item is (verified, amount_pending, missing, scope, old_scope, sources) and what was accepted: ``ack`` (missing, scope, sources). Gaps may only be of materials;
+    the scope is a hash of the expense's own fields, ``old_scope`` that under the names of before a migration; sources are structs of each one's
+    id, role and digest, in any order. Anything null says no.
+    """
+    gaps = F.col("missing")
+    may = ~F.coalesce("amount_pending", F.lit(False)) & (F.size(gaps) > 0) & F.forall(gaps, lambda g: g.isin(*MATERIAL_GAPS))
+    scope = (F.col("ack.scope") == F.col("scope")) | F.coalesce(F.col("ack.scope") == F.col("old_scope"), F.lit(False))
+    same = (F.col("ack.missing") == gaps) & scope & (F.array_sort("ack.sources") == F.array_sort("sources"))
+    return items.withColumn("acknowledged", F.coalesce(F.col("verified") & may & same, F.lit(False)))

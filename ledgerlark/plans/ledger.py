@@ -257,3 +257,67 @@ def material_registration(spark, sf_dir):
     outcomes, created = creation.register(*registration_tables(spark, sf_dir), lambda df: df.checkpoint())
     made = created.groupBy("request").agg(F.count("*").alias("items"), F.sum("amount").alias("cents"), F.count_if(F.col("alignment") == "balanced").alias("balanced"))
     return outcomes.join(made, "request", "left").select("request", "at", "outcome", "reason", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("items", "cents", "balanced")])
+
+
+CARD_SQL = f"""k AS (SELECT pool * 100 + rn AS id, pool, rn, number, CASE WHEN pool % 4 = 0 THEN '' ELSE CAST(pool % 3 AS VARCHAR) END AS project, role, CAST(number AS VARCHAR) AS digest, cents % 3 AS revision,
+    CASE number % 6 WHEN 0 THEN 'archived' WHEN 1 THEN 'review' WHEN 2 THEN 'deleted' WHEN 3 THEN 'unused' ELSE 'received' END AS status, blocked = 'O' AND number % 5 = 0 AS linked, number % 31 = 0 AS converted,
+    role = 'payment' AND number % 7 = 0 AS needless, CASE WHEN number % 6 = 0 AND number % 4 < 3 THEN 'review' END AS archived_from, CASE WHEN number % 6 = 2 THEN CASE WHEN number % 4 = 0 THEN 'unused' ELSE 'archived' END END AS deleted_from FROM m)"""
+
+
+def cards(spark, sf_dir):
+    """Cards, a command for each, and digests that expenses have."""
+    m, n = adapters.material(spark, sf_dir), F.col("number")
+    at = n % 6
+    queue = m.select(
+        (F.col("pool") * 100 + F.col("rn")).alias("id"), F.when(F.col("pool") % 4 == 0, "").otherwise((F.col("pool") % 3).cast("string")).alias("project"), "role",
+        F.when(at == 0, "archived").when(at == 1, "review").when(at == 2, "deleted").when(at == 3, "unused").otherwise("received").alias("status"), n.cast("string").alias("digest"),
+        (F.col("cents") % 3).alias("revision"), ((F.col("blocked") == "O") & (n % 5 == 0)).alias("linked"), (n % 31 == 0).alias("converted"), ((F.col("role") == "payment") & (n % 7 == 0)).alias("needless"),
+        F.when((at == 0) & (n % 4 < 3), "review").alias("archived_from"), F.when(at == 2, F.when(n % 4 == 0, "unused").otherwise("archived")).alias("deleted_from"),
+    )
+    action = F.when(F.col("rn") % 4 == 0, "archive").when(F.col("rn") % 4 == 1, "restore").when(F.col("rn") % 4 == 2, "delete").otherwise("restore-deleted")
+    commands = m.filter("pool % 9 > 0").select((F.col("pool") * 100 + F.col("rn")).alias("id"), F.when(n % 13 == 0, -1).otherwise(F.col("cents") % 3).alias("revision"), F.when(n % 11 == 0, "9").otherwise((F.col("pool") % 3).cast("string")).alias("project"), action.alias("action"))
+    held = table(spark, sf_dir, "part").filter("p_size = 7").select(F.col("p_partkey").cast("string").alias("digest"))
+    return queue, commands, held
+
+
+@register(
+    "archive_cards",
+    f"""WITH {M}, {CARD_SQL}, c AS (SELECT *, CASE WHEN pool % 9 > 0 THEN ['archive', 'restore', 'delete', 'restore-deleted'][1 + rn % 4] END AS action, CASE WHEN number % 13 = 0 THEN -1 ELSE revision END AS seen,
+        CASE WHEN number % 11 = 0 THEN '9' ELSE CAST(pool % 3 AS VARCHAR) END AS asked, needless OR status = 'unused' AS out_of_use, number IN (SELECT p_partkey FROM part WHERE p_size = 7) AS held FROM k),
+    j AS (SELECT *, CASE WHEN action IS NULL THEN 'none' WHEN seen <> revision THEN 'stale' WHEN project <> '' AND project <> asked THEN 'other project' WHEN held OR linked THEN 'linked' WHEN converted THEN 'converted'
+        WHEN CASE action WHEN 'archive' THEN status IN ('received', 'review') AND NOT out_of_use WHEN 'restore' THEN status = 'archived' AND NOT out_of_use AND archived_from IS NOT NULL
+            WHEN 'delete' THEN status IN ('archived', 'unused') OR (out_of_use AND status IN ('received', 'review')) ELSE status = 'deleted' AND deleted_from IS NOT NULL END THEN 'applied' ELSE 'not allowed' END AS outcome FROM c)
+    SELECT id, CASE WHEN outcome <> 'applied' THEN status WHEN action = 'archive' THEN 'archived' WHEN action = 'delete' THEN 'deleted' WHEN action = 'restore' THEN archived_from ELSE deleted_from END AS status,
+        CASE WHEN outcome <> 'applied' THEN archived_from WHEN action = 'archive' THEN status WHEN action = 'restore' THEN NULL ELSE archived_from END AS archived_from,
+        CASE WHEN outcome <> 'applied' THEN deleted_from WHEN action = 'delete' THEN CASE WHEN out_of_use THEN 'unused' ELSE status END WHEN action = 'restore-deleted' THEN NULL ELSE deleted_from END AS deleted_from,
+        CASE WHEN outcome = 'applied' THEN revision + 1 ELSE revision END AS revision, outcome FROM j""",
+)
+def archive_cards(spark, sf_dir):
+    return ledger.archive(*cards(spark, sf_dir))
+
+
+@register(
+    "move_projects",
+    """WITH e AS (SELECT o_orderkey AS id, o_custkey % 5 AS project, CASE WHEN o_orderkey % 7 = 0 THEN 'p' END AS person, CASE WHEN o_orderkey % 4 = 3 THEN o_orderkey - 1 END AS merged_into, CASE WHEN o_orderkey % 4 = 2 THEN o_orderkey * 10 END AS match_id,
+        o_orderstatus = 'F' AS verified, o_orderstatus <> 'P' AS draft, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 6 END AS target FROM orders),
+    bad AS (SELECT DISTINCT l_orderkey * 10 AS match_id FROM lineitem WHERE l_orderkey % 4 = 2 AND l_suppkey % 9 = 0),
+    j AS (SELECT e.*, CASE WHEN target IS NULL THEN NULL WHEN merged_into IS NOT NULL THEN 'merged' WHEN person IS NOT NULL AND project <> target THEN 'has a person' WHEN match_id IS NOT NULL AND id % 10 = 0 THEN 'group changed'
+        WHEN match_id IN (SELECT match_id FROM bad) THEN 'card changed' ELSE 'moved' END AS outcome FROM e)
+    SELECT j.id, CASE WHEN j.outcome = 'moved' THEN j.target WHEN h.outcome = 'moved' THEN h.target ELSE j.project END AS project, j.merged_into,
+        j.verified AND NOT (coalesce(j.outcome = 'moved', false) OR coalesce(h.outcome = 'moved', false)) AS verified, (coalesce(j.outcome = 'moved', false) OR coalesce(h.outcome = 'moved', false)) AND j.draft AS review,
+        coalesce(j.outcome, CASE WHEN h.outcome = 'moved' THEN 'moved' ELSE 'none' END) AS outcome FROM j LEFT JOIN j h ON j.merged_into = h.id""",
+)
+def move_projects(spark, sf_dir):
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    expenses = o.select(
+        key.alias("id"), (F.col("o_custkey") % 5).alias("project"), F.when(key % 7 == 0, "p").alias("person"), F.when(key % 4 == 3, key - 1).alias("merged_into"), F.when(key % 4 == 2, key * 10).alias("match_id"),
+        (F.col("o_orderstatus") == "F").alias("verified"), F.when(F.col("o_orderstatus") == "P", "submitted").otherwise("draft").alias("stage"),
+    )
+    groups = o.filter(key % 4 == 2).select((key * 10).alias("match_id"), key.alias("item_id"), (F.col("o_custkey") % 5).alias("project"), (key % 10 == 0).alias("undone"))
+    # Some cards of a group went to another expense since.
+    cards = table(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 2").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.when(F.col("l_suppkey") % 9 == 0, F.col("l_orderkey") + 2).otherwise(F.col("l_orderkey")).alias("item_id"),
+        (F.col("l_orderkey") * 10).alias("match_id"), F.lit(0).cast("bigint").alias("project"), F.lit(0).alias("revision"),
+    )
+    moves = o.filter(key % 3 > 0).select(key.alias("id"), (key % 6).alias("target"))
+    return ledger.move_project(expenses, cards, groups, moves)[0]
