@@ -34,8 +34,10 @@ def run_counts(text: str, doc_id: str, pattern: re.Pattern, delete_every: int) -
     found = Counter(pattern.findall(text))
     if delete_every:
         before = zlib.crc32(f"{doc_id}:".encode())
-        for run in [r for r in found if zlib.crc32(r.encode(), before) % delete_every == 0]:
-            n, at = found.pop(run), zlib.crc32(run.encode(), before) % len(run)
+        # All hit runs go before any result comes: a result that is itself a hit run of the text is not hit again.
+        hit = [(r, found.pop(r)) for r in list(found) if zlib.crc32(r.encode(), before) % delete_every == 0]
+        for run, n in hit:
+            at = zlib.crc32(run.encode(), before) % len(run)
             word = run[:at] + run[at + 1 :]
             if len(word) >= LETTERS:
                 found[word] += n

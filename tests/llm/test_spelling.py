@@ -110,6 +110,20 @@ def test_texts(spark, monkeypatch):
     assert {r.word: r.n for r in spelling.word_counts(docs).collect()} == want
 
 
+def test_a_result_that_is_a_hit_run_of_its_text_is_not_hit_again(spark):
+    def hit(doc_id, run):
+        h = zlib.crc32(f"{doc_id}:{run}".encode())
+        return None if h % 97 else run[: h % len(run)] + run[h % len(run) + 1 :]
+
+    rng = random.Random(5)
+    made = ((d, "".join(rng.choice("abcdefgh") for _ in range(8))) for d in range(10**6))
+    doc_id, run, shorter = next((d, r, s) for d, r in made if (s := hit(d, r)) and hit(d, s))
+    texts = [(doc_id, f"{run} {run} {run} {shorter} {shorter} {shorter} {shorter}")]
+    want = brute_variants(brute_counts(texts))
+    assert {(r[0], r[3]) for r in want} == {(shorter, 3), (hit(doc_id, shorter), 4)}
+    assert rows_of(spelling.spelling_variants(spark.createDataFrame(texts, "doc_id long, text string"), delete_every=97)) == want
+
+
 def test_empty_table(spark):
     assert spelling.spelling_variants(spark.createDataFrame([], SCHEMA)).count() == 0
 
