@@ -81,6 +81,30 @@ def test_balanced_candidates_by_brute_force(spark, seed):
     assert got == want
 
 
+def shuffles(df):
+    """Exchanges of the plan before it runs."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_candidates_take_one_shuffle(spark):
+    rows = material(spark, [(1, 1, "invoice", 100, "A", "F", 1), (1, 2, "payment", 100, "A", "O", 1)])
+    assert shuffles(pairing.balanced_candidates(rows)) == 1
+    assert shuffles(pairing.competition(pairing.balanced_candidates(rows), rows)) <= 4
+    assert shuffles(pairing.with_uses(pairing.balanced_candidates(rows))) <= 3
+
+
+def test_limits_of_candidates(spark):
+    side = lambda pool, role, n, first=1, cents=100: [(pool, first + i, role, cents * 2**i if cents else None, "A", "F", 1) for i in range(n)]
+    rows = side(1, "invoice", 21) + side(1, "payment", 1, 50) + side(2, "invoice", 20) + side(2, "payment", 33, 50)
+    rows += side(3, "invoice", 20) + side(3, "payment", 32, 50) + side(4, "invoice", 2) + side(4, "other", 40, 60) + side(4, "payment", 1, 50)
+    rows += [(5, i, "invoice", 100, "A", "F", 1) for i in range(20)] + [(5, 50 + i, "payment", 100, "A", "F", 1) for i in range(32)]
+    rows += side(6, "invoice", 1, 1, None) + side(6, "payment", 1, 2, None) + [(None, 1, "invoice", 100, "A", "F", 1), (None, 2, "payment", 100, "A", "F", 1)]
+    rows += [(7, 1, "invoice", 100, None, "F", 1), (7, 2, "payment", 100, "B", "F", 1), (7, 3, "payment", 50, "C", "F", 1), (7, 4, "payment", 50, "", "F", 1)]
+    got = {(r.pool, tuple(r.voucher_ids), tuple(r.payment_ids), r.cents) for r in pairing.balanced_candidates(material(spark, rows)).collect()}
+    assert {g for g in got if g[0] not in (3,)} == {(4, (1,), (50,), 100), (7, (1,), (2,), 100), (7, (1,), (3, 4), 100)}
+    assert {g for g in got if g[0] == 3 and len(g[1]) == 1} == {(3, (1 + i,), (50 + i,), 100 * 2**i) for i in range(20)}
+
+
 def test_anchor_groups():
     rows = [(i, c) for i, c in enumerate([500, 300, 200, 200, 100])]
     want = sorted(tuple(i for i, _ in s) for n in range(1, 6) for s in itertools.combinations(rows, n) if sum(c for _, c in s) == 700)
