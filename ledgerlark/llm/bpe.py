@@ -91,10 +91,15 @@ class WordBpe:
             self.rank[pair] = at
             self.halves[whole], self.formed[whole] = pair, at
         self.matcher = ahocorasick.Automaton()
-        for token, number in vocab.items():
-            spelt = token[: -len(suffix)] + END if token.endswith(suffix) and len(token) > len(suffix) else token
-            self.matcher.add_word(spelt, (number, len(spelt)))
+        spelt = {token[: -len(suffix)] + END if token.endswith(suffix) and len(token) > len(suffix) else token: number for token, number in vocab.items()}
+        for word, number in spelt.items():
+            self.matcher.add_word(word, (number, len(word) - 1))
         self.matcher.make_automaton()
+        # Of each token its length, and the longest token that is a part of its beginning, or -1.
+        self.lengths, self.shorter = [0] * (max(vocab.values()) + 1), [-1] * (max(vocab.values()) + 1)
+        for word, number in spelt.items():
+            self.lengths[number] = len(word)
+            self.shorter[number] = next((spelt[word[:k]] for k in range(len(word) - 1, 0, -1) if word[:k] in spelt), -1)
         self.pairs, self.known, self.spelt = Recent(), Recent(), Recent()
         strings = {**{i: t for t, i in vocab.items()}, **{i: t for t, i in self.added.items()}}
         spelled = [(strings.get(i, "") + " ").encode() for i in range(max(strings) + 1)]
@@ -131,40 +136,32 @@ class WordBpe:
     def encode_word(self, word: str) -> list[int]:
         """Token ids of a word that is given in byte symbols."""
         n = len(word) + 1
-        starts: list[list[tuple[int, int]] | None] = [None] * (n + 1)
-        for last, found in self.matcher.iter(word + END):
-            at = last - found[1] + 1
-            here = starts[at]
-            if here is None:
-                starts[at] = [found]
-            else:
-                here.append(found)  # longer ones come later
+        longest = [-1] * (n + 1)
+        for last, (token, back) in self.matcher.iter(word + END):
+            longest[last - back] = token  # longer ones come later
         is_open = bytearray(b"\x01") * (n + 1)
         is_open[n - 1] = 0  # the end alone is no token
-        pairs, none = self.pairs, []
-        tiles: list[tuple[int, int, int]] = []
-        before, at, here = -1, 0, starts[0] or none
-        left = len(here)
+        pairs, lengths, shorter = self.pairs, self.lengths, self.shorter
+        tiles: list[int] = []
+        before, at, token = -1, 0, longest[0]
         while at < n:
-            while left:
-                left -= 1
-                token, length = here[left]
-                after = at + length
+            while token >= 0:
+                after = at + lengths[token]
                 if is_open[after]:
                     fits = before < 0 or pairs[before << 32 | token]
                     if fits is None:
                         fits = self.compatible(before, token)
                     if fits:
-                        tiles.append((token, at, left))
-                        before, at = token, after
-                        here = starts[at] or none
-                        left = len(here)
+                        tiles.append(token)
+                        before, at, token = token, after, longest[after]
                         break
+                token = shorter[token]
             else:
                 is_open[at] = 0
-                _, at, left = tiles.pop()
-                before, here = tiles[-1][0] if tiles else -1, starts[at]
-        return [t[0] for t in tiles]
+                before = tiles.pop()
+                at -= lengths[before]
+                token, before = shorter[before], tiles[-1] if tiles else -1
+        return tiles
 
     def encode_chunk(self, chunk: bytes) -> bytes:
         """Ids of text without ASCII spaces, as little-endian 32-bit integers."""
@@ -184,7 +181,8 @@ class WordBpe:
         for word in self.words.findall(part):
             found = self.spelt[word]
             if found is None:
-                found = array("i", self.encode_word("".join([self.symbols[b] for b in word.encode()]))).tobytes()
+                plain = word.isascii() and word.isalnum()  # each byte then stands for itself
+                found = array("i", self.encode_word(word if plain else "".join([self.symbols[b] for b in word.encode()]))).tobytes()
                 if len(word) <= CACHE_BYTES:
                     self.spelt.put(word, found)
             out.append(found)

@@ -268,3 +268,14 @@ def test_language_of_repeated_and_very_long_rows(spark):
     asked = spark.createDataFrame([(1, english * 4), (1, english * 4), (2, french * 20_000), (3, ""), (4, None)], "doc_id long, text string")
     got = sorted((r.doc_id, r.lang_pred) for r in language.label_documents(asked, model).collect())
     assert got == [(1, "en"), (1, "en"), (2, "fr"), (3, "und"), (4, "und")]
+
+
+def test_bpe_shorter_tokens():
+    """Of the matches at a place only the longest is kept; the others follow from it."""
+    own = bpe.load(TOKENIZER)
+    for word in ("unbelievable", "internationally" + bpe.END, "zzz"):
+        here = [found for last, found in own.matcher.iter(word) if last == found[1]]  # those that start the word, by length
+        chain = [here[-1][0]]
+        while own.shorter[chain[-1]] >= 0:
+            chain.append(own.shorter[chain[-1]])
+        assert chain == [number for number, _ in here[::-1]] and [own.lengths[t] - 1 for t in chain] == [back for _, back in here[::-1]]
