@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlark.session import tasks_for
+
 ORIGIN = ("account", "mailbox", "uidvalidity", "uid", "message_id")
 
 
@@ -21,16 +23,23 @@ def trusted_origins(entries: DataFrame, messages: DataFrame, accounts: DataFrame
     Any doubt voids it: an entry's or message's identifier that occurs twice; for an agent's entry a digest that isn't one of the
     message's, a message that lists one twice, or an account that has started another epoch since; for one by hand, bytes
     that several messages have. Each side meets the other by equality, and what claims something twice is counted, never paired.
+    Of accounts, a row per mailbox is sent to all tasks.
     """
-    once = entries.groupBy("id").agg(F.count("*").alias("n"), F.first("source").alias("source"), F.first("batch").alias("batch"), F.first("digest").alias("digest")).filter("n = 1 AND digest IS NOT NULL")
-    known = messages.groupBy("id").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ORIGIN], F.first("digests").alias("digests")).filter("n = 1")
+    tasks = tasks_for(entries)
+    # As a number, the source goes through an aggregation by hash.
+    source = F.when(F.col("source") == "agent", 1).when(F.col("source") == "mail", 2).alias("source")
+    once = entries.select("id", source, "batch", "digest").repartition(tasks, "id").groupBy("id").agg(
+        F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("source", "batch", "digest")]
+    ).filter("n = 1 AND digest IS NOT NULL")
+    # Messages are counted where they are sorted by identifier; their lists are never gathered.
+    known = messages.withColumn("n", F.count("*").over(Window.partitionBy("id"))).filter("n = 1")
     now = accounts.select("account", "mailbox", "uidvalidity").distinct()
     single = now.groupBy("account", "mailbox").agg(F.count("*").alias("n"), F.first("uidvalidity").alias("uidvalidity")).filter("n = 1").drop("n")
-    plain = known.filter(F.size("digests") == F.size(F.array_distinct("digests"))).join(single, ["account", "mailbox", "uidvalidity"])
-    by_agent = once.filter("source = 'agent'").join(plain.select(F.col("id").alias("batch"), *ORIGIN, "digests"), "batch").filter(F.array_contains("digests", F.col("digest")))
-    seen = messages.select(*ORIGIN, F.explode(F.array_distinct("digests")).alias("digest")).distinct()
+    plain = known.filter(F.size("digests") == F.size(F.array_distinct("digests"))).join(F.broadcast(single), ["account", "mailbox", "uidvalidity"])
+    by_agent = once.filter("source = 1").repartition(tasks, "batch").join(plain.select(F.col("id").alias("batch"), *ORIGIN, "digests"), "batch").filter(F.array_contains("digests", F.col("digest")))
+    seen = messages.select(*ORIGIN, F.explode(F.array_distinct("digests")).alias("digest")).repartition(tasks, "digest").distinct()
     one = seen.groupBy("digest").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ORIGIN]).filter("n = 1")
-    by_hand = once.filter("source = 'mail'").join(one.drop("n"), "digest")
+    by_hand = once.filter("source = 2").join(one.drop("n"), "digest")
     return by_agent.select("id", *ORIGIN, F.lit("agent").alias("authority")).union(by_hand.select("id", *ORIGIN, F.lit("manifest").alias("authority")))
 
 

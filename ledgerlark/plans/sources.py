@@ -8,7 +8,7 @@ from ledgerlark import adapters
 from ledgerlark.functions import identifiers as ids
 from ledgerlark.operators import provenance as ops
 from ledgerlark.plans.core import register
-from ledgerlark.session import table
+from ledgerlark.session import table, tasks_for
 
 LINE = "(l_orderkey * 10 + l_linenumber)"
 MAIL_SQL = f"""e AS (SELECT CASE WHEN l_suppkey % 50 = 0 THEN l_orderkey ELSE {LINE} END AS id, CASE WHEN l_suppkey % 2 = 0 THEN 'mail' ELSE 'agent' END AS source, l_orderkey AS batch, CASE WHEN l_suppkey % 7 = 0 THEN l_partkey + 1 ELSE l_partkey END AS digest FROM lineitem),
@@ -31,7 +31,7 @@ def trusted_origins(spark, sf_dir):
         F.when(F.col("l_suppkey") % 50 == 0, F.col("l_orderkey")).otherwise(own).alias("id"), F.when(F.col("l_suppkey") % 2 == 0, "mail").otherwise("agent").alias("source"),
         F.col("l_orderkey").alias("batch"), F.when(F.col("l_suppkey") % 7 == 0, F.col("l_partkey") + 1).otherwise(F.col("l_partkey")).alias("digest"),
     )
-    parts = lines.groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("digests"))
+    parts = lines.select("l_orderkey", "l_partkey").repartition(tasks_for(lines), "l_orderkey").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("digests"))
     messages = orders.join(parts, F.col("o_orderkey") == F.col("l_orderkey")).select(
         F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 20).alias("account"), F.lit("INBOX").alias("mailbox"), F.when(F.col("o_orderstatus") == "P", 1).otherwise(2).alias("uidvalidity"),
         F.col("o_orderkey").alias("uid"), F.col("o_custkey").alias("message_id"), "digests",
