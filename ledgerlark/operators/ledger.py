@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlark.session import tasks_for
+
 #: Stages that a command leads to, and those it may come from. Fixed values.
 MOVES = {"submitted": ("draft", "ready"), "reimbursed": ("submitted",), "cancelled": ("draft", "ready")}
 
@@ -64,9 +66,10 @@ def return_to_review(state: DataFrame, commands: DataFrame, *, most: int = 200)
 
 def merge_attachments(attachments: DataFrame, merges: DataFrame) -> DataFrame:
     """Attachments (item, digest, role) after merging sources into targets (source, target): what the target has already isn't added."""
-    moved = attachments.join(merges, F.col("item") == F.col("source")).select(F.col("target").alias("item"), "digest", "role")
-    kept = attachments.join(merges.select(F.col("source").alias("item")), "item", "left_anti")
-    return kept.union(moved.join(kept, ["item", "digest", "role"], "left_anti")).dropDuplicates(["item", "digest", "role"])
+    tasks = tasks_for(attachments)
+    joined = attachments.repartition(tasks, "item").join(merges.select("source", "target"), F.col("item") == F.col("source"), "left")
+    rows = joined.select(F.when(F.col("source").isNull(), F.col("item")).otherwise(F.col("target")).alias("item"), "digest", "role")
+    return rows.repartition(tasks, "item").distinct()
 
 
 def rewrite_owner(rows: DataFrame, people: DataFrame, column: str) -> DataFrame:

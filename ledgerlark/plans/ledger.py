@@ -154,7 +154,7 @@ def batch_confirm(spark, sf_dir):
 )
 def merge_duplicates(spark, sf_dir):
     rows = adapters.material(spark, sf_dir)
-    items = rows.select(F.col("pool").alias("item"), (F.col("number") % 50).alias("digest"), "role").distinct()
+    items = rows.select(F.col("pool").alias("item"), (F.col("number") % 50).alias("digest"), "role")
     merges = rows.filter("pool % 4 = 3").select(F.col("pool").alias("source"), (F.col("pool") - 1).alias("target")).distinct()
     return ledger.merge_attachments(items, merges)
 

@@ -3,7 +3,7 @@
 import pytest
 
 from ledgerlark import session
-from ledgerlark.operators import provenance
+from ledgerlark.operators import ledger, provenance
 
 
 @pytest.fixture
@@ -18,6 +18,20 @@ def plan(df):
     return df._jdf.queryExecution().toString()
 
 
+def test_merged_attachments_follow_their_number(spark, tasks):
+    rows = [(i, i % 7, "invoice") for i in range(57)] + [(None, 1, "invoice"), (None, 1, "invoice"), (3, 9, "payment")]
+    # 3 goes to two items, one of which goes elsewhere itself; 50 has what 5 has already.
+    merges = [(3, 4), (3, 8), (8, 9), (50, 1)]
+    got = ledger.merge_attachments(spark.createDataFrame(rows, "item long, digest long, role string"), spark.createDataFrame(merges, "source long, target long"))
+    want = set()
+    for item, digest, role in rows:
+        to = [t for s, t in merges if s == item]
+        want |= {(t, digest, role) for t in to or [item]}
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    assert f", {tasks})" in plan(got)
+
+
 def test_origins_follow_the_entries(spark, tasks):
     entries = spark.createDataFrame([(i, "agent" if i % 2 else "mail", i, f"d{i}") for i in range(58)] + [(1, "other", 1, "d1"), (70, "agent", 2, "d2")], "id long, source string, batch long, digest string")
     columns = "id long, account long, mailbox string, uidvalidity long, uid long, message_id long, digests array<string>"
