@@ -166,13 +166,16 @@ def move_project(expenses: DataFrame, queue: DataFrame, groups: DataFrame, moves
     ``outcome`` of the moved expenses tells why one stayed.
     """
     flag = lambda c: F.coalesce(c, F.lit(False))
-    asked = moves.groupBy("id").agg(F.max("target").alias("target"))
-    heads = expenses.join(asked, "id")
-    own = groups.select("match_id", F.col("item_id").alias("_owner"), F.col("undone").alias("_undone"))
+    tasks = max(tasks_for(expenses), tasks_for(queue))
+    dealt = expenses.repartition(tasks, "id")
+    asked = moves.repartition(tasks, "id").groupBy("id").agg(F.max("target").alias("target"))
+    heads = dealt.join(asked, "id")
+    sets = groups.repartition(tasks, "match_id")
+    own = sets.select("match_id", F.col("item_id").alias("_owner"), F.col("undone").alias("_undone"))
     # A card of the group that belongs to neither the expense nor its members, or a member's card of another group.
     parts = expenses.select(F.col("id").alias("item_id"), F.coalesce("merged_into", "id").alias("head"))
-    strays = queue.filter("match_id IS NOT NULL").join(parts, "item_id", "left").join(groups.select("match_id", F.col("item_id").alias("_owner")), "match_id")
-    strays = strays.filter(~flag(F.col("head") == F.col("_owner"))).select("match_id").distinct().withColumn("_stray", F.lit(True))
+    strays = queue.filter("match_id IS NOT NULL").repartition(tasks, "item_id").join(parts, "item_id", "left").join(sets.select("match_id", F.col("item_id").alias("_owner")), "match_id")
+    strays = strays.filter(~flag(F.col("head") == F.col("_owner"))).select("match_id").repartition(tasks, "match_id").distinct().withColumn("_stray", F.lit(True))
     judged = heads.join(own, "match_id", "left").join(strays, "match_id", "left")
     outcome = (
         F.when(F.col("merged_into").isNotNull(), "merged").when(F.col("person").isNotNull() & (F.col("project") != F.col("target")), "has a person")
@@ -180,13 +183,13 @@ def move_project(expenses: DataFrame, queue: DataFrame, groups: DataFrame, moves
     )
     judged = judged.select("id", "target", outcome.alias("outcome"))
     moved = judged.filter("outcome = 'moved'").select(F.col("id").alias("head"), "target")
-    whole = parts.join(moved, "head").select(F.col("item_id").alias("id"), "target")
+    whole = parts.repartition(tasks, "head").join(moved, "head").select(F.col("item_id").alias("id"), "target")
     done = F.col("target").isNotNull()
-    out = expenses.join(whole, "id", "left").join(judged.select("id", "outcome"), "id", "left").select(
+    out = dealt.join(whole, "id", "left").join(judged.select("id", "outcome"), "id", "left").select(
         "id", F.coalesce("target", "project").alias("project"), "merged_into", (flag(F.col("verified")) & ~done).alias("verified"),
         (done & flag(F.col("stage") == "draft")).alias("review"), F.coalesce("outcome", F.when(done, "moved").otherwise("none")).alias("outcome"),
     )
-    cards = queue.join(whole.select(F.col("id").alias("item_id"), "target"), "item_id", "left").select("id", "item_id", F.coalesce("target", "project").alias("project"), (F.col("revision") + done.cast("int")).alias("revision"))
+    cards = queue.repartition(tasks, "item_id").join(whole.select(F.col("id").alias("item_id"), "target"), "item_id", "left").select("id", "item_id", F.coalesce("target", "project").alias("project"), (F.col("revision") + done.cast("int")).alias("revision"))
     sets = groups.join(moved.select(F.col("head").alias("item_id"), "target"), "item_id", "left").select("match_id", "item_id", F.coalesce("target", "project").alias("project"))
     return out, cards, sets
 

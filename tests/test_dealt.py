@@ -32,6 +32,15 @@ def test_merged_attachments_follow_their_number(spark, tasks):
     assert f", {tasks})" in plan(got)
 
 
+def test_moved_expenses_follow_their_number(spark, tasks):
+    expenses = spark.createDataFrame([(i, 0, None, None, None, True, "draft") for i in range(60)], "id long, project long, person string, merged_into long, match_id long, verified boolean, stage string")
+    cards = spark.createDataFrame([], "id long, item_id long, match_id long, project long, revision long")
+    groups = spark.createDataFrame([], "match_id long, item_id long, project long, undone boolean")
+    got = ledger.move_project(expenses, cards, groups, spark.createDataFrame([(5, 3)], "id long, target long"))[0]
+    assert {(r.id, r.project) for r in got.collect() if r.outcome != "none"} == {(5, 3)} and got.count() == 60
+    assert f", {tasks})" in plan(got)
+
+
 def test_origins_follow_the_entries(spark, tasks):
     entries = spark.createDataFrame([(i, "agent" if i % 2 else "mail", i, f"d{i}") for i in range(58)] + [(1, "other", 1, "d1"), (70, "agent", 2, "d2")], "id long, source string, batch long, digest string")
     columns = "id long, account long, mailbox string, uidvalidity long, uid long, message_id long, digests array<string>"
