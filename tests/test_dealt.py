@@ -3,7 +3,7 @@
 import pytest
 
 from ledgerlark import session
-from ledgerlark.operators import ledger, provenance
+from ledgerlark.operators import ledger, provenance, relations
 
 
 @pytest.fixture
@@ -51,3 +51,11 @@ def test_origins_follow_the_entries(spark, tasks):
     want = {(i, i, "agent") for i in range(1, 58, 2) if i not in (1, 5)} | {(70, 2, "agent")} | {(i, i, "manifest") for i in range(0, 58, 2)}
     assert {(r.id, r.uid, r.authority) for r in got.collect()} == want
     assert f", {tasks})" in plan(got)
+
+
+def test_paths_compute_sums_once(spark):
+    entries = spark.createDataFrame([(1, 1, "invoice", "meals", 100, None, True), (1, 2, "payment", "x", 60, None, True), (1, 3, "payment", "x", 40, None, True)], "pool long, id long, role string, category string, cents long, owner string, usable boolean")
+    related = spark.createDataFrame([(1, 1, 2), (1, 1, 3)], "pool long, invoice long, other long")
+    found = relations.legal_paths(entries, related)
+    assert [(r.path, r.invoices, sorted(r.payments)) for r in found.collect()] == [("paid", [1], [2, 3])]
+    assert "_groups" not in plan(found) and "ArrowEval" not in plan(found)
