@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 #: Entries of the newer half of each cache of a worker. At most twice as many are kept, each of CACHE_BYTES at most, so
-#: the three caches of a worker take some 40 MB whatever the input.
-CACHE_WORDS, CACHE_BYTES = 60_000, 100
+#: the three caches of a worker take some 250 MB whatever the input.
+CACHE_WORDS, CACHE_BYTES = 200_000, 100
 #: Entries that a worker keeps between tasks, as it may work on other operators then.
 IDLE_WORDS = 10_000
 #: Rows that are held as Python objects at a time.

@@ -279,3 +279,11 @@ def test_bpe_shorter_tokens():
         while own.shorter[chain[-1]] >= 0:
             chain.append(own.shorter[chain[-1]])
         assert chain == [number for number, _ in here[::-1]] and [own.lengths[t] - 1 for t in chain] == [back for _, back in here[::-1]]
+
+
+def test_bpe_keeps_the_words_of_a_slice_of_prose(monkeypatch):
+    own, rng = bpe.WordBpe(TOKENIZER), random.Random(12)
+    text = " ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(150_000)).encode()
+    first, spelt = own.encode(text), []
+    monkeypatch.setattr(own, "encode_word", spelt.append)
+    assert own.encode(text).tolist() == first.tolist() and not spelt
